@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, language, media
+from fathom.llm import decontaminate, language, media, mixture, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,10 +28,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col(h)["n_words"].alias("n_words"), decontaminate.n_hit(h).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), decontaminate.is_contaminated(h).alias("contaminated"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, documents = mixture.mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, base, every = secrets.scan(docs)
+    b = F.col(base)
+    return out.select("doc_id", secrets.counted(b, 0).alias("n_assign"), secrets.counted(b, 1).alias("n_access"), secrets.counted(b, 2).alias("n_hex"), F.sha2(secrets.listing(b), 256).alias("base_sha256"), secrets.listing(F.col(every)).alias("spans"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out, lang, score = language.identify(docs)
     return out.select("doc_id", language.held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
-QUERIES |= {"op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op5_language": op5_language}
+QUERIES |= {"op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_language": op5_language, "op10_secret_scan": op10_secret_scan}
