@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, language, media, mixture, secrets
+from fathom.llm import decontaminate, jaccard, language, media, mixture, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, base, every = secrets.scan(docs)
@@ -46,4 +54,4 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
-QUERIES |= {"op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_language": op5_language, "op10_secret_scan": op10_secret_scan}
+QUERIES |= {"op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_language": op5_language, "op7_jaccard_join": op7_jaccard_join, "op9_token_files": op9_token_files, "op10_secret_scan": op10_secret_scan}
