@@ -33,8 +33,9 @@ CAP = 2
 BLOCK = 64
 SHARD = 4096
 SEED = 20240607
-#: Rows that one task of a running sum holds.
+#: Rows that one task of a running sum holds, and runs that there are at least where rows suffice.
 RUN_ROWS = 50_000
+LEAST_RUNS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -141,7 +142,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     dealt = dealt.withColumn("round", F.floor(F.col("k") / cells)).withColumn("block", permuted(F.pmod("k", cells), F.col("a"), F.col("b"), F.col("source_no"), F.col("round")))
     slots = dealt.select("slot", F.floor(F.col("slot") / shard).alias("shard"), "source_no", "round", "block")
     taken = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    placed = laid_out(named, max(1, math.ceil(rows / RUN_ROWS)))
+    placed = laid_out(named, max(1, math.ceil(rows / RUN_ROWS), min(LEAST_RUNS, rows // 100)))
     lo, hi = F.col("off"), F.col("off") + F.col("size")
     pieces = placed.where("size > 0").select("doc_id", "source", "size", "source_size", "target", "source_no", "off", F.explode(F.sequence(F.floor(lo / block), F.floor((hi - 1) / block))).alias("block"))
     overlap = F.least(hi, (F.col("block") + 1) * block) - F.greatest(lo, F.col("block") * block)
