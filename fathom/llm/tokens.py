@@ -19,6 +19,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ END = 2
 MAGIC = b"FWM1"
 NULL_ID = -(1 << 63)
 STEP = 512
-#: Entries that a task remembers of what it has encoded.
-CHUNKS, PIECES = 500_000, 300_000
+#: Chunks that a worker remembers.
+CHUNKS = 700_000
 
 # How byte-level vocabularies write the bytes that have no printable character.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,12 +48,43 @@ _OTHER = re.compile("[^\x21-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ſ]
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+class _Pieces(dict):
+    """Ids of words that are normalised already, by the tokenizer's model."""
+
+    def __init__(self, model, kind: str):
+        super().__init__()
+        self.tokenize, self.kind = model.tokenize, kind
+
+    def __missing__(self, w: str) -> bytes:
+        plain = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+        v = self[w] = array(self.kind, [t.id for t in self.tokenize(plain)]).tobytes()
+        return v
+
+
+class _Chunks(dict):
+    """Ids of the runs between white space."""
+
+    def __init__(self, pieces: _Pieces, full):
+        super().__init__()
+        self.pieces, self.full = pieces, full
+
+    def __missing__(self, c: str) -> bytes:
+        if c.isascii() and "<|" not in c and c.isprintable():
+            low = c.lower()
+        elif _OTHER.search(c):
+            v = self[c] = self.full(c)
+            return v
+        else:
+            low = unicodedata.normalize("NFC", c).lower()
+        v = self[c] = self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECE.findall(low)))
+        return v
+
+
 class Encoder:
     """``encode(text, add_special_tokens=False)`` of a word tokenizer, remembering what it has seen.
 
     Nothing that the tokenizer looks at crosses white space, so a text's ids are those of its chunks in turn.  New chunks of ASCII and
-    Latin letters are normalised here and their words encoded by the library's model all at once; any other chunk goes through the whole
-    tokenizer.
+    Latin letters are normalised here and their words encoded by the library's model; any other chunk goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -60,19 +92,14 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = WhitespaceSplit()
         self.wordy = self.recognised()
-        vocab = self.whole.get_vocab()
-        self.bits = max(1, max(vocab.values(), default=1).bit_length())
-        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        for word, i in vocab.items():
-            self.last[i] = word.endswith("</w>")
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.bits = max(1, max(self.whole.get_vocab().values(), default=1).bit_length())
+        #: Ids are kept as little-endian numbers of this kind.
+        self.kind = "H" if self.bits <= 16 else "I"
+        self.pieces = _Pieces(self.whole.model, self.kind)
+        self.chunks = _Chunks(self.pieces, self.full)
 
     def recognised(self) -> bool:
         """Whether the tokenizer is of the kind whose words can be encoded apart; any other is used as a whole."""
@@ -84,47 +111,27 @@ class Encoder:
         return kinds == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("ignore_merges")
 
     def full(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array(self.kind, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.wordy or _ODD_SPACE.search(text):
+            return self.full(text)
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        if len(self.pieces) > PIECES:
             self.pieces.clear()
-        parts: dict[str, list[str]] = {}
-        for c in chunks:
-            if _OTHER.search(c):
-                self.chunks[c] = self.full(c)
-            else:
-                parts[c] = _PIECE.findall(unicodedata.normalize("NFC", c).lower())
-        new = list(set().union(*parts.values()).difference(self.pieces)) if parts else []
-        if new:
-            text = " ".join(w.encode().decode("latin-1").translate(_BYTES) for w in new)
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            stops = (np.flatnonzero(self.last[ids]) + 1) * 4
-            raw, start = ids.tobytes(), 0
-            if len(stops) != len(new):
-                raise RuntimeError("words and word ends differ in number")
-            for w, stop in zip(new, stops.tolist(), strict=True):
-                self.pieces[w] = raw[start:stop]
-                start = stop
-        get = self.pieces.__getitem__
-        for c, ws in parts.items():
-            self.chunks[c] = b"".join(map(get, ws))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian 32-bit numbers."""
-        if not self.wordy:
-            return [self.full(t) if t else b"" for t in texts]
-        split = [None if t and _ODD_SPACE.search(t) else (t or "").split() for t in texts]
-        seen = set().union(*[s for s in split if s])
-        if new := list(seen.difference(self.chunks)):
-            before = len(self.chunks)
-            self.learn(new)
-            if len(self.chunks) < before:  # it was full and has forgotten the others
-                self.learn(list(seen.difference(self.chunks)))
-        get = self.chunks.__getitem__
-        return [self.full(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder, which later tasks of the same worker find filled."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Wavelet:
@@ -141,7 +148,7 @@ class Wavelet:
             on = (x & x.dtype.type(1 << (bits - 1 - k))) != 0
             planes.append(np.packbits(on))
             ones.append(Wavelet.samples(planes[-1]))
-            x = np.concatenate([x[~on], x[on]])
+            x = np.concatenate([np.compress(~on, x), np.compress(on, x)])
             zeros[k] = len(ids) - int(np.count_nonzero(on))
         return Wavelet(len(ids), bits, planes, zeros, ones)
 
@@ -205,8 +212,8 @@ class Wavelet:
         for k in range(self.bits - 1, -1, -1):
             on = np.unpackbits(self.planes[k], count=self.n).view(bool)
             up, z = np.empty_like(x), int(self.zeros[k])
-            up[~on] = x[:z]
-            up[on] = x[z:] | x.dtype.type(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~on)] = x[:z]
+            up[np.flatnonzero(on)] = x[z:] | x.dtype.type(1 << (self.bits - 1 - k))
             x = up
         return x.astype(np.uint32)
 
@@ -259,28 +266,28 @@ def write_shards(docs: DataFrame, space: Workspace, name: str, tokenizer: str, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
-        stop, task = struct.pack("<I", end), TaskContext.get().partitionId()
+        coder = encoder(tokenizer)
+        width = 2 if coder.kind == "H" else 4
+        stop, task = array(coder.kind, [end]).tobytes(), TaskContext.get().partitionId()
         held_ids: list[int] = []
         held: list[bytes] = []
         size = made = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held_ids, held, size, made
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            ids = np.frombuffer(b"".join(held), np.uint32)
+            lengths = np.array([len(x) // width for x in held], np.int64)
+            ids = np.frombuffer(b"".join(held), coder.kind)
             d = np.array(held_ids, np.int64)
-            bits = max(encoder.bits, int(end).bit_length())
-            out = pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([held_ids[0]], pa.int64()), pa.array([len(d)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([pack(d, lengths, ids, bits)], pa.binary())], names=["shard", "first_doc", "n_docs", "n_tokens", "payload"])
+            out = pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([held_ids[0]], pa.int64()), pa.array([len(d)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([pack(d, lengths, ids, coder.bits)], pa.binary())], names=["shard", "first_doc", "n_docs", "n_tokens", "payload"])
             held_ids, held, size, made = [], [], 0, made + 1
             return out
 
         for batch in batches:
             for part in rows_of(batch, 1):
-                for d, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     held_ids.append(d)
-                    held.append(x + stop)
-                    size += len(x) // 4 + 1
+                    held.append(coder.encode(t) + stop)
+                    size += len(held[-1]) // width
                     if size >= shard_tokens:
                         yield flush()
         if held:
