@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, jaccard, language, media, mixture, secrets, tokens
+from fathom.llm import decontaminate, jaccard, language, media, mixture, secrets, suffixes, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -54,4 +60,4 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
-QUERIES |= {"op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_language": op5_language, "op7_jaccard_join": op7_jaccard_join, "op9_token_files": op9_token_files, "op10_secret_scan": op10_secret_scan}
+QUERIES |= {"op1_suffix_dedup": op1_suffix_dedup, "op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_language": op5_language, "op7_jaccard_join": op7_jaccard_join, "op9_token_files": op9_token_files, "op10_secret_scan": op10_secret_scan}
