@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, jaccard, language, media, mixture, secrets, suffixes, tokens
+from fathom.llm import chat, decontaminate, jaccard, language, media, mixture, pages, secrets, suffixes, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +39,15 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))
+
+
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,4 +69,5 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
-QUERIES |= {"op1_suffix_dedup": op1_suffix_dedup, "op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_language": op5_language, "op7_jaccard_join": op7_jaccard_join, "op9_token_files": op9_token_files, "op10_secret_scan": op10_secret_scan}
+QUERIES |= {"op1_suffix_dedup": op1_suffix_dedup, "op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_language": op5_language, "op6_page_text": op6_page_text, "op8_chat_rotation": op8_chat_rotation, "op7_jaccard_join": op7_jaccard_join, "op9_token_files": op9_token_files, "op10_secret_scan": op10_secret_scan}
+SQL |= {"op8_chat_rotation": chat.SQL}
