@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathom.llm.common import free_name
 from fathom.plans.staging import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -149,3 +150,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     keys = ["doc_id", "source", "size", "source_size", "target"]
     got = pieces.join(taken, ["source_no", "block"], "left").groupBy(*keys, "source_no", "off").agg(F.sum(overlap * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     return slots, got.select(*keys, "taken").unionByName(named.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken")))
+
+
+def copies(taken: Column, size: Column, doc_id: Column) -> Column:
+    """How often a document comes: taken over size, the fraction rounded up with its own probability, drawn from the id."""
+    share = F.coalesce(taken / F.when(size > 0, size), F.lit(0.0))
+    u = F.pmod(F.xxhash64(doc_id, F.lit(SEED + 99)), F.lit(1 << 40)) / float(1 << 40)
+    return (F.floor(share) + F.when(u < share - F.floor(share), 1).otherwise(0)).cast("int")
+
+
+def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """``docs`` as whole documents in the proportions of the mix; all columns stay, and a document comes 0, 1 or 2 times."""
+    _, found = mix(docs, doc_id, text, source, **how)
+    key, times = free_name(docs.columns, "mixed_id"), free_name(docs.columns, "times")
+    per_id = found.groupBy(F.col("doc_id").alias(key)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    often = per_id.select(key, copies(F.col("taken"), F.col("size"), F.col(key)).alias(times)).where(F.col(times) > 0)
+    out = docs.join(often, docs[doc_id].eqNullSafe(often[key]))
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).select(*docs.columns)
