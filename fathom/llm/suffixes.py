@@ -37,7 +37,9 @@ LENGTH = 100
 FIRST = 40
 #: Text bytes that a bucket stands for.
 BUCKET_BYTES = 4 << 20
-PIECE = 8 << 20
+#: Text bytes that are hashed at a time, and of which repeats are settled at once.
+PIECE = 1 << 20
+SETTLE = 16 << 20
 NULL_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _LOW = (1 << 24) - 1
@@ -189,7 +191,7 @@ def buffers(batch: pa.RecordBatch, doc: int, text: int, length: int) -> Iterator
         i = 0
         while i < len(blobs):
             j, size = i, 0
-            while j < len(blobs) and (j == i or size + len(blobs[j]) <= _LOW - length):
+            while j < len(blobs) and (j == i or size + len(blobs[j]) <= PIECE + length):
                 size += len(blobs[j])
                 j += 1
             sizes = np.array([len(x) for x in blobs[i:j]], np.int64)
@@ -199,16 +201,29 @@ def buffers(batch: pa.RecordBatch, doc: int, text: int, length: int) -> Iterator
 
 def first_ranks(docs: DataFrame, buckets: int, length: int, first: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, held, size = Hasher(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            short, full, doc, start, windows = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order, fresh, after = first_of_each([full], doc, start)
+            same, rest = order[~fresh & after], order[fresh]
+            rest = rest[np.lexsort((start[rest], doc[rest]))]
+            rows = list(dealt(RANKS, (short[rest] >> np.uint64(1)).astype(np.int64) % buckets, short[rest], full[rest], doc[rest], start[rest], windows[rest].astype(np.int32)))
+            d, s, w = joined(doc[same], start[same], windows[same])
+            rows += dealt(REMOVED, id_bucket(d, buckets), d, s, w.astype(np.int32))
+            return table(rows)
+
         for batch in batches:
             for ids, offsets, data, starts, sizes in buffers(batch, 0, 1, length):
                 short, full, doc, start, windows = runs(hasher, data, starts, sizes, length, first)
-                start, doc = start + offsets[doc], ids[doc]
-                order, fresh, after = first_of_each([full], doc, start)
-                same, rest = order[~fresh & after], order[fresh]
-                rows = list(dealt(RANKS, (short[rest] >> np.uint64(1)).astype(np.int64) % buckets, short[rest], full[rest], doc[rest], start[rest], windows[rest].astype(np.int32)))
-                rows += dealt(REMOVED, id_bucket(doc[same], buckets), doc[same], start[same], windows[same].astype(np.int32))
-                yield table(rows)
+                held.append((short, full, ids[doc], start + offsets[doc], windows))
+                size += len(data)
+                if size >= SETTLE:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     return docs.mapInArrow(run, _LIST)
 
