@@ -35,28 +35,29 @@ class Table:
     """Vectorised look-up of 64-bit keys: a few hash tables, each for the keys that collided in the one before."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, math.ceil(math.log2(8 * len(keys) + 1)))
         self.levels, left = [], np.arange(len(keys), dtype=np.int32)
         for mul in _MUL:
-            slot = self.slot(keys[left], mul)
-            stored, at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            bits = max(4, math.ceil(math.log2(8 * len(left) + 1)))
+            slot = self.slot(keys[left], mul, bits)
+            stored, at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
             at[slot] = left
             stored[slot] = keys[left]
-            self.levels.append((mul, stored, at))
+            self.levels.append((mul, bits, stored, at))
             left = left[at[slot] != left]
         self.order = np.argsort(keys[left], kind="stable")
         self.rest, self.rest_at = keys[left][self.order], left[self.order]
 
-    def slot(self, keys: np.ndarray, mul: np.uint64) -> np.ndarray:
-        return ((keys * mul) >> np.uint64(64 - self.bits)).astype(np.intp)
+    @staticmethod
+    def slot(keys: np.ndarray, mul: np.uint64, bits: int) -> np.ndarray:
+        return ((keys * mul) >> np.uint64(64 - bits)).astype(np.intp)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, -1 where it is not there."""
         out = np.full(len(keys), -1, np.int32)
         todo: np.ndarray | None = None
-        for mul, stored, at in self.levels:
+        for mul, bits, stored, at in self.levels:
             k = keys if todo is None else keys[todo]
-            slot = self.slot(k, mul)
+            slot = self.slot(k, mul, bits)
             got = at[slot]
             got[stored[slot] != k] = -1
             if todo is None:

@@ -21,6 +21,8 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Timer
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ END = 2
 MAGIC = b"FWM1"
 NULL_ID = -(1 << 63)
 STEP = 512
-#: Chunks that a worker remembers.
-CHUNKS = 700_000
+#: Chunks and words that a worker remembers, and for how many idle seconds.
+CHUNKS, PIECES, IDLE = 600_000, 800_000, 3.0
 
 # How byte-level vocabularies write the bytes that have no printable character.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -120,18 +122,33 @@ class Encoder:
             return self.full(text)
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_TASKS = [0]
 
 
-def encoder(path: str) -> Encoder:
-    """The process's encoder, which later tasks of the same worker find filled."""
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder, which a task that follows soon finds filled; a worker that goes on to other work gives up the memory."""
+    _TASKS[0] += 1
+    mine = _TASKS[0]
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    try:
+        yield _ENCODERS[path]
+    finally:
+
+        def forget() -> None:
+            if _TASKS[0] == mine:
+                _ENCODERS.pop(path, None)
+
+        timer = Timer(IDLE, forget)
+        timer.daemon = True
+        timer.start()
 
 
 class Wavelet:
@@ -264,9 +281,12 @@ def write_shards(docs: DataFrame, space: Workspace, name: str, tokenizer: str, d
     ordered = rows.repartitionByRange(parts, "d").sortWithinPartitions("d", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with encoder(tokenizer) as coder:
+            yield from coded(batches, coder)
+
+    def coded(batches: Iterator[pa.RecordBatch], coder: Encoder) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = encoder(tokenizer)
         width = 2 if coder.kind == "H" else 4
         stop, task = array(coder.kind, [end]).tobytes(), TaskContext.get().partitionId()
         held_ids: list[int] = []
