@@ -3,8 +3,8 @@
 Everything is DataFrame expressions.  A match's place follows from the pieces between the matches: ``split`` gives those,
 ``regexp_extract_all`` the matches, and their lengths add up to offsets in code points.
 
-The two models are first-order Markov chains over 69 symbols (letters, digits, ``+/_=-.`` and all else), with half a count added to every
-transition.  Random strings are learnt from the values that the fixed patterns found and from SAMPLES generated digests, ordinary ones
+The two models are first-order Markov chains over 69 symbols (letters, digits, ``+/_=-.`` and all else).  A transition's probability is
+drawn towards the frequency of the symbol it leads to, with the weight of PRIOR transitions.  Random strings are learnt from the values that the fixed patterns found and from SAMPLES generated digests, ordinary ones
 from words of the texts; the sample of texts is bounded by TRAIN_DOCS.  A candidate of MIN_LEN or more characters is a secret when its
 log-likelihood ratio reaches MIN_LLR nats in all.
 
@@ -33,6 +33,7 @@ WIDTH = len(SYMBOLS) + 1
 MIN_LEN = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_LEN},}}"
 MIN_LLR = 12.0
+PRIOR = 8.0
 TRAIN_DOCS = 4000
 SAMPLES = 2000
 
@@ -86,18 +87,16 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
     found = few.select(F.explode(values).alias("s"), F.lit(1).alias("random"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(SAMPLES).select(F.explode(F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40))).alias("s"), F.lit(1).alias("random"))
-    words = few.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z][A-Za-z_]{7,}"), F.lit(0))).alias("s"), F.lit(0).alias("random"))
+    words = few.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_]{7,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("s"), F.lit(0).alias("random"))
     both = found.unionByName(made).unionByName(words).select("random", _symbols(F.col("s")).alias("x")).where(F.size("x") > 1)
     steps = both.select("random", F.explode(F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1), lambda a, b: a * WIDTH + b)).alias("step"))
     counts = {(r[0], r[1]): r[2] for r in steps.groupBy("random", "step").agg(F.count("*")).collect()}
 
     def log_rows(kind: int) -> list[float]:
-        out = []
-        for a in range(WIDTH):
-            row = [counts.get((kind, a * WIDTH + b), 0) + 0.5 for b in range(WIDTH)]
-            total = math.log(sum(row))
-            out += [math.log(x) - total for x in row]
-        return out
+        table = [[counts.get((kind, a * WIDTH + b), 0) for b in range(WIDTH)] for a in range(WIDTH)]
+        every = [sum(row[b] for row in table) + 0.5 for b in range(WIDTH)]
+        total = sum(every)
+        return [math.log((n + PRIOR * every[b] / total) / (sum(row) + PRIOR)) for row in table for b, n in enumerate(row)]
 
     return [round(p - q, 4) for p, q in zip(log_rows(1), log_rows(0), strict=True)]
 
