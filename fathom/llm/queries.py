@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import chat, decontaminate, jaccard, language, media, mixture, pages, secrets, suffixes, tokens
+from fathom.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +72,3 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_suffix_dedup": op1_suffix_dedup, "op2_media_sniff": op2_media_sniff, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_language": op5_language, "op6_page_text": op6_page_text, "op8_chat_rotation": op8_chat_rotation, "op7_jaccard_join": op7_jaccard_join, "op9_token_files": op9_token_files, "op10_secret_scan": op10_secret_scan}
-SQL |= {"op8_chat_rotation": chat.SQL}
