@@ -9,12 +9,24 @@ from pyspark.sql.window import Window
 from fathom.operators.graph import Graph
 
 
-def triangles_oriented(graph: Graph) -> DataFrame:
-    """Each triangle once as (a, b, c).  Edges point from lower to higher (degree, id), which bounds the out-degree by the root of
-    twice the edge count, so a hub does not make the square of its degree in wedges."""
+def oriented(graph: Graph) -> DataFrame:
+    """Each edge once, from lower to higher (degree, id), which bounds the out-degree by the root of twice the edge count: a hub does not
+    make the square of its degree in wedges."""
     deg = graph.degrees()
     ranked = graph.edges.join(deg.select(F.col("id").alias("src"), F.col("deg").alias("ds")), "src").join(deg.select(F.col("id").alias("dst"), F.col("deg").alias("dd")), "dst")
-    up = ranked.where("ds < dd or (ds = dd and src < dst)").select("src", "dst")
+    return ranked.where("ds < dd or (ds = dd and src < dst)").select("src", "dst")
+
+
+def triangle_count(graph: Graph) -> DataFrame:
+    """(triangles): one row, from the short neighbour lists of oriented edges, without a row a wedge."""
+    lists = oriented(graph).groupBy("src").agg(F.collect_list("dst").alias("out"))
+    ends = lists.select("out", F.explode("out").alias("dst")).join(lists.select(F.col("src").alias("dst"), F.col("out").alias("far")), "dst")
+    return ends.agg(F.coalesce(F.sum(F.size(F.array_intersect("out", "far"))), F.lit(0)).cast("long").alias("triangles"))
+
+
+def triangles_oriented(graph: Graph) -> DataFrame:
+    """Each triangle once as (a, b, c)."""
+    up = oriented(graph)
     wedges = up.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(up.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
     return wedges.join(up.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"]).select("a", "b", "c")
 

@@ -102,11 +102,11 @@ query("tri_edge_intersections", w(G45_SQL, TRI_SQL, DEG_SQL) + "SELECT src, dst,
 
 @query("tri_total", w(GALL_SQL) + "SELECT CAST(count(*) AS BIGINT) AS directed_sum, CAST(count(*) // 6 AS BIGINT) AS triangles FROM e JOIN e x ON x.src = e.src JOIN e y ON y.src = e.dst AND y.dst = x.dst")
 def tri_total(spark, sf_dir):
-    n = tri.triangles_oriented(G(spark, sf_dir, None)).agg(F.count("*").alias("triangles"))
+    n = tri.triangle_count(G(spark, sf_dir, None))
     return n.select((F.col("triangles") * 6).alias("directed_sum"), "triangles")
 
 
-query("tri_bipartite_total", w(BIP_SQL) + "SELECT count(*) AS triangles FROM e JOIN e x ON x.src = e.src JOIN e y ON y.src = e.dst AND y.dst = x.dst")(lambda s, d: tri.triangles_oriented(fx.trade_graph(s, d)).agg(F.count("*").alias("triangles")))
+query("tri_bipartite_total", w(BIP_SQL) + "SELECT count(*) AS triangles FROM e JOIN e x ON x.src = e.src JOIN e y ON y.src = e.dst AND y.dst = x.dst")(lambda s, d: tri.triangle_count(fx.trade_graph(s, d)))
 query("tri_vertex_counts", w(G45_SQL, VTRI_SQL) + "SELECT id, deg, triangles FROM vt")(lambda s, d: tri.vertex_triangles(G(s, d)))
 CLUSTER = "SELECT id, deg, triangles, round(CASE WHEN deg > 1 THEN triangles / CAST({} AS DOUBLE) ELSE 0 END, 6) AS cc FROM vt"
 query("tri_clustering_local", w(G45_SQL, VTRI_SQL) + CLUSTER.format("deg * (deg - 1)"))(lambda s, d: tri.clustering(tri.vertex_triangles(G(s, d))).withColumn("cc", r6("cc")))
