@@ -39,7 +39,7 @@ MAGIC = b"FWM1"
 NULL_ID = -(1 << 63)
 STEP = 512
 #: Chunks and words that a worker remembers, and for how many idle seconds.
-CHUNKS, PIECES, IDLE = 600_000, 800_000, 3.0
+CHUNKS, PIECES, IDLE = 450_000, 600_000, 0.5
 
 # How byte-level vocabularies write the bytes that have no printable character.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
