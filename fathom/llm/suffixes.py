@@ -16,7 +16,8 @@ two different strings of a corpus share one with probability 2**-64.  Runs and w
 What repeats inside a step of some megabytes is settled on the spot, so a string that half of the corpus shares sends one row a step.
 
 Defined results: null text is empty; a null document id counts as the smallest; rows that share an id are one document as far as
-"earlier" goes, so exact copies under one id keep their bytes; other columns are not looked at.
+"earlier" goes, so exact copies under one id keep their bytes, and different texts of one id lose what starts further left in another;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ BUCKET_BYTES = 4 << 20
 PIECE = 1 << 20
 SETTLE = 16 << 20
 NULL_ID = -(1 << 63)
+#: Where texts share an id, a 32-bit hash from this bit of a start on tells them apart; a text has fewer bytes.
+TAG_BIT = 31
+_START = (1 << TAG_BIT) - 1
 _BASE = 0x9E3779B97F4A7C15
 _LOW = (1 << 24) - 1
 _LIST = "kind int, bucket long, doc_id long, text string, piece binary"
@@ -131,15 +135,24 @@ def unpack(piece: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
-def first_of_each(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by keys, document and start; whether a row is the first of its keys; whether it comes after the first one's place)."""
-    order = np.lexsort((start, doc, *keys[::-1]))
-    fresh = np.ones(len(order), bool)
+def first_of_each(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows at the first place of their keys, sorted by keys; rows after it).  Rows alike in everything are in the first part once."""
+    place = start & _START
+    order = np.lexsort((start, place, doc, *keys[::-1]))
+    fresh, again = np.ones(len(order), bool), np.zeros(len(order), bool)
     if len(order) > 1:
         fresh[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+        again[1:] = ~fresh[1:] & (doc[order[1:]] == doc[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
     head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(order) else np.zeros(0, np.int64)
-    after = (doc[order] != doc[order[head]]) | (start[order] != start[order[head]])
-    return order, fresh, after
+    after = (doc[order] != doc[order[head]]) | (place[order] != place[order[head]])
+    return order[~after & ~again], order[after]
+
+
+def tag_of(text: str | None, tagged: bool) -> int:
+    """What a text's starts begin at: 0, or a hash of the text where texts share ids."""
+    import xxhash
+
+    return xxhash.xxh32_intdigest((text or "").encode("utf-8", "surrogatepass")) << TAG_BIT if tagged else 0
 
 
 def id_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -178,15 +191,15 @@ def table(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 RANKS, REMOVED, OPEN = 0, 1, 2
 
 
-def buffers(batch: pa.RecordBatch, doc: int, text: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def buffers(batch: pa.RecordBatch, doc: int, text: int, length: int, tagged: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(document ids, offset of the buffer in its document, bytes, starts, sizes); a long document comes in overlapping pieces."""
     for part in rows_of(batch, text):
         ids, offsets, blobs = [], [], []
         for d, t in zip(part.column(doc).to_pylist(), part.column(text).to_pylist(), strict=True):
-            b = t.encode("utf-8", "surrogatepass") if t else b""
+            b, tag = t.encode("utf-8", "surrogatepass") if t else b"", tag_of(t, tagged)
             for i in range(0, max(len(b) - length + 1, 1), PIECE):
                 ids.append(d)
-                offsets.append(i)
+                offsets.append(tag + i)
                 blobs.append(b[i : i + PIECE + length - 1])
         i = 0
         while i < len(blobs):
@@ -199,15 +212,14 @@ def buffers(batch: pa.RecordBatch, doc: int, text: int, length: int) -> Iterator
             i = j
 
 
-def first_ranks(docs: DataFrame, buckets: int, length: int, first: int) -> DataFrame:
+def first_ranks(docs: DataFrame, buckets: int, length: int, first: int, tagged: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [], 0
 
         def flush() -> pa.RecordBatch:
             short, full, doc, start, windows = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order, fresh, after = first_of_each([full], doc, start)
-            same, rest = order[~fresh & after], order[fresh]
+            rest, same = first_of_each([full], doc, start)
             rest = rest[np.lexsort((start[rest], doc[rest]))]
             rows = list(dealt(RANKS, (short[rest] >> np.uint64(1)).astype(np.int64) % buckets, short[rest], full[rest], doc[rest], start[rest], windows[rest].astype(np.int32)))
             d, s, w = joined(doc[same], start[same], windows[same])
@@ -215,7 +227,7 @@ def first_ranks(docs: DataFrame, buckets: int, length: int, first: int) -> DataF
             return table(rows)
 
         for batch in batches:
-            for ids, offsets, data, starts, sizes in buffers(batch, 0, 1, length):
+            for ids, offsets, data, starts, sizes in buffers(batch, 0, 1, length, tagged):
                 short, full, doc, start, windows = runs(hasher, data, starts, sizes, length, first)
                 held.append((short, full, ids[doc], start + offsets[doc], windows))
                 size += len(data)
@@ -239,11 +251,9 @@ def settled(ranks: DataFrame, buckets: int, kinds: str) -> DataFrame:
         if pieces:
             cols = [np.concatenate(c) for c in zip(*[unpack(p, kinds) for p in pieces], strict=True)]
             keys, (doc, start, windows) = cols[: 2 if two else 1], cols[-3:]
-            order, fresh, after = first_of_each(keys, doc, start)
-            same = order[~fresh & after]
+            heads, same = first_of_each(keys, doc, start)
             parts.append([doc[same], start[same], windows[same]])
             if two:
-                heads = order[fresh]
                 short = keys[0][heads]
                 twin = np.zeros(len(heads), bool)
                 if len(heads) > 1:
@@ -289,7 +299,7 @@ class Lists:
         self.pieces: list[bytes] = []
         self.index: dict[int, tuple[int, int]] | None = None
 
-    def of(self, doc: int) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, doc: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
         if self.index is None:
             cols = [np.concatenate(c) for c in zip(*[unpack(p, "iis") for p in self.pieces], strict=True)] if self.pieces else [np.zeros(0, np.int64)] * 3
             order = np.argsort(cols[0], kind="stable")
@@ -297,7 +307,9 @@ class Lists:
             keys, at, n = np.unique(ids, return_index=True, return_counts=True)
             self.index = {int(k): (int(a), int(a + c)) for k, a, c in zip(keys, at, n, strict=True)}
         a, b = self.index.get(doc, (0, 0))
-        return self.start[a:b], self.windows[a:b]
+        start, windows = self.start[a:b], self.windows[a:b]
+        own = start >> TAG_BIT == tag >> TAG_BIT
+        return start[own] - tag, windows[own]
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[Lists]]]:
@@ -318,7 +330,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             yield part.take(pa.array(take, pa.int64())), owner
 
 
-def window_ranks(docs: DataFrame, open_runs: DataFrame, buckets: int, length: int) -> DataFrame:
+def window_ranks(docs: DataFrame, open_runs: DataFrame, buckets: int, length: int, tagged: bool = False) -> DataFrame:
     """Ranks of full length of the windows in open runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +338,8 @@ def window_ranks(docs: DataFrame, open_runs: DataFrame, buckets: int, length: in
         for part, owner in by_bucket(batches):
             ranks, docs_, starts_ = [], [], []
             for d, t, lists in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), owner, strict=True):
-                start, windows = lists.of(d)
+                tag = tag_of(t, tagged)
+                start, windows = lists.of(d, tag)
                 if not len(start) or not t:
                     continue
                 data = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
@@ -335,12 +348,11 @@ def window_ranks(docs: DataFrame, open_runs: DataFrame, buckets: int, length: in
                 p = np.repeat(start - (ends - windows), windows) + np.arange(int(ends[-1]))
                 ranks.append(hasher.of(p, p + length))
                 docs_.append(np.full(len(p), d, np.int64))
-                starts_.append(p)
+                starts_.append(tag + p)
             if not ranks:
                 continue
             rank, doc, start = map(np.concatenate, (ranks, docs_, starts_))
-            order, fresh, after = first_of_each([rank], doc, start)
-            same, rest = order[~fresh & after], order[fresh]
+            rest, same = first_of_each([rank], doc, start)
             rest = rest[np.lexsort((start[rest], doc[rest]))]
             rows = list(dealt(RANKS, (rank[rest] >> np.uint64(1)).astype(np.int64) % buckets, rank[rest], doc[rest], start[rest], np.ones(len(rest), np.int32)))
             d, s, w = joined(doc[same], start[same], np.ones(len(same), np.int64))
@@ -350,7 +362,7 @@ def window_ranks(docs: DataFrame, open_runs: DataFrame, buckets: int, length: in
     return beside(docs, open_runs, buckets).mapInArrow(run, _LIST)
 
 
-def cut_out(docs: DataFrame, removed: DataFrame, buckets: int, length: int) -> DataFrame:
+def cut_out(docs: DataFrame, removed: DataFrame, buckets: int, length: int, tagged: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,11 +370,10 @@ def cut_out(docs: DataFrame, removed: DataFrame, buckets: int, length: int) -> D
             n, spans, kept = [], [], []
             for d, t, lists in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), owner, strict=True):
                 b = t.encode("utf-8", "surrogatepass") if t else b""
-                start, windows = lists.of(d)
+                start, windows = lists.of(d, tag_of(t, tagged))
                 n.append(len(b))
-                inside = start < len(b)  # rows of one id may differ
-                _, a, w = joined(np.zeros(int(inside.sum()), np.int64), start[inside], windows[inside].astype(np.int64) + length - 1)
-                e = np.minimum(a + w, len(b))
+                _, a, w = joined(np.zeros(len(start), np.int64), start, windows.astype(np.int64) + length - 1)
+                e = a + w
                 spans.append([{"start": x, "stop": y} for x, y in zip(a.tolist(), e.tolist(), strict=True)])
                 at, parts = 0, []
                 for x, y in zip(a.tolist(), e.tolist(), strict=True):
@@ -382,6 +393,12 @@ def _tidy(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def texts_share_ids(rows: DataFrame) -> bool:
+    """Whether an id has several texts; a row an id is compared, never the texts themselves."""
+    h = F.xxhash64("text")
+    return not rows.groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").isEmpty()
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, first: int = FIRST) -> DataFrame:
     """(doc_id, n_bytes, spans removed, kept bytes) of every document."""
     if not 1 <= first <= length:
@@ -390,9 +407,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     space = Workspace(spark)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
     buckets = max(64, math.ceil(text_bytes(rows) / BUCKET_BYTES))
-    a = space.put("runs", settled(first_ranks(rows, buckets, length, first), buckets, "uuiis"), codec="uncompressed")
+    tagged = texts_share_ids(rows)
+    a = space.put("runs", settled(first_ranks(rows, buckets, length, first, tagged), buckets, "uuiis"), codec="uncompressed")
     _tidy(spark)
-    b = space.put("windows", settled(window_ranks(rows, a.where(F.col("kind") == OPEN), buckets, length), buckets, "uiis"), codec="uncompressed")
+    b = space.put("windows", settled(window_ranks(rows, a.where(F.col("kind") == OPEN), buckets, length, tagged), buckets, "uiis"), codec="uncompressed")
     _tidy(spark)
     removed = a.unionByName(b).where(F.col("kind") == REMOVED)
-    return cut_out(rows, removed, buckets, length)
+    return cut_out(rows, removed, buckets, length, tagged)

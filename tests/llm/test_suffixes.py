@@ -49,6 +49,20 @@ def test_empty_table_and_null_id(spark, none):
     assert bytes(got[5].kept) == b"" and len(got[None].kept) == 1  # the null id is the smallest
 
 
+def test_different_texts_of_one_id(spark):
+    rng = random.Random(11)
+    shared = "".join(rng.choice("abcd") for _ in range(300))
+    rows = []
+    for _ in range(60):
+        a = rng.randrange(250)
+        text = "".join(rng.choice("wxyz") for _ in range(rng.randint(0, 40))) + shared[a : a + rng.randint(0, 80)] + "".join(rng.choice("wxyz") for _ in range(rng.randint(0, 40)))
+        rows += [(rng.choice([None, 3, 4, 5]), text)] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    low = [(suffixes.NULL_ID if d is None else d, t) for d, t in rows]
+    got = sorted((suffixes.NULL_ID if r.doc_id is None else r.doc_id, r.n_bytes, tuple((s.start, s.stop) for s in r.spans), bytes(r.kept)) for r in suffixes.remove_repeats(df, length=20, first=8).collect())
+    assert got == expected(low, 20)
+
+
 def test_kept_hash_matches_operator(docs):
     out = suffixes.remove_repeats(docs)
     assert out.where(F.octet_length("kept") > F.col("n_bytes")).count() == 0
