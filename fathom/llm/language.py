@@ -186,18 +186,19 @@ class Scorer:
 def sample(docs: DataFrame, text: str, lang: str, usable: Column | None = None) -> dict[str, list[bytes]]:
     """A bounded training sample: the texts with the smallest hashes, some BYTES_PER_LANG of each language.
 
-    Which rows are taken depends on the texts alone, so every run trains the same model.
+    Which rows are taken depends on the texts alone, so every run trains the same model.  Copies of a text count once, both for the
+    share to take and in the sample, so a text with any number of copies stays within the bound.
     """
     rows = docs.where(F.col(lang).isNotNull() & (F.octet_length(F.col(text)) > 0) & (F.octet_length(F.col(text)) <= LONGEST))
-    rows = (rows if usable is None else rows.where(usable)).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
-    totals = {r[0]: r[1] for r in rows.groupBy("l").agg(F.sum(F.octet_length("t").cast("long"))).collect()}
+    rows = (rows if usable is None else rows.where(usable)).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    totals = {r[0]: r[1] for r in rows.groupBy("l", "h").agg(F.max(F.octet_length("t").cast("long")).alias("n")).groupBy("l").agg(F.sum("n")).collect()}
     if not totals:
         return {}
     most = min(BYTES_PER_LANG, BYTES_IN_ALL // len(totals))
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, most / n))])
-    key = F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / float(1 << 40)
+    key = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
     out: dict[str, list[bytes]] = {}
-    for name, t in rows.where(key < F.element_at(share, F.col("l"))).collect():
+    for name, t in rows.where(key < F.element_at(share, F.col("l"))).select("l", "t").distinct().collect():
         out.setdefault(name, []).append(t.encode("utf-8", "surrogatepass"))
     return {k: sorted(v) for k, v in out.items()}
 

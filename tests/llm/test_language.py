@@ -79,3 +79,11 @@ def test_real_tables(spark):
     out, lang, _ = lg.identify(d)
     good = out.where(lg.held_out()).agg(F.avg((F.col(lang) == F.col("lang")).cast("int"))).first()[0]
     assert good > 0.98
+
+
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(lg, "BYTES_PER_LANG", 600)
+    rows = [("x", f"text number {i:03d}") for i in range(100)]
+    plain = lg.sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang")
+    copied = lg.sample(spark.createDataFrame(rows * 20 + [("y", None), (None, "z")], "lang string, text string"), "text", "lang")
+    assert plain == copied and 0 < sum(map(len, plain["x"])) < 1500
