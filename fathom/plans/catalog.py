@@ -12,6 +12,7 @@ from fathom.operators import betweenness as bc
 from fathom.operators import bfs, components, models, traces
 from fathom.operators import relational as rel
 from fathom.operators import triangles as tri
+from fathom.operators.graph import Graph
 from fathom.plans import fixtures as fx
 from fathom.plans.fixtures import ADJ_SQL, BFS_SQL, BIP_SQL, CC_SQL, DEG_SQL, EVT_SQL, G45_SQL, GALL_SQL, MERGE_SQL, PATHS_SQL, PERF_KEYS, PERF_SQL, PERF_VALUES, TRACE_SQL, TRI_SQL, VTRI_SQL, r6
 from fathom.sources.perflog import union_fill
@@ -36,68 +37,84 @@ def w(*ctes: str) -> str:
 
 
 G = fx.part_graph
+#: Queries whose SQL twin is too slow, or its result too long, on the whole part graph: all walks, all pairs or all paths.  They have none
+#: there; tests/test_whole_graph.py holds them against plain Python.
+NO_WHOLE_SQL = ("cc_", "bc_", "merge_trace", "trace_mix_")
+
+
+def part_query(name: str, sql: str) -> Callable[[Callable[[Graph], DataFrame]], Query]:
+    """Register a query of the part graph on lines of large quantity (``name``) and on the whole table (``name``_dense)."""
+    if G45_SQL not in sql:
+        raise ValueError(f"{name}: no part graph in its SQL")
+
+    def add(f: Callable[[Graph], DataFrame]) -> Query:
+        if f"{name}_dense" not in WHOLE_ALREADY:
+            query(f"{name}_dense", None if name.startswith(NO_WHOLE_SQL) else sql.replace(G45_SQL, GALL_SQL))(lambda s, d: f(G(s, d, None)))
+        return query(name, sql)(lambda s, d: f(G(s, d)))
+
+    return add
+
+
+#: Registered below by hand.
+WHOLE_ALREADY = ("tri_edge_counts_dense",)
 
 # --- graph model ---------------------------------------------------------------------------------------------------------------
 
-query("graph_edges_symmetric", w(G45_SQL) + "SELECT src, dst FROM e")(lambda s, d: G(s, d).edges)
+part_query("graph_edges_symmetric", w(G45_SQL) + "SELECT src, dst FROM e")(lambda g: g.edges)
 query("graph_edges_bipartite", w(BIP_SQL) + "SELECT src, dst FROM e")(lambda s, d: fx.trade_graph(s, d).edges)
-query("graph_degree", w(G45_SQL, DEG_SQL) + "SELECT id, deg FROM d")(lambda s, d: G(s, d).degrees())
+part_query("graph_degree", w(G45_SQL, DEG_SQL) + "SELECT id, deg FROM d")(lambda g: g.degrees())
 query("graph_degree_histogram", w(GALL_SQL, DEG_SQL) + "SELECT deg, count(*) AS vertices FROM d GROUP BY 1")(lambda s, d: G(s, d, None).degree_histogram())
 text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-query("graph_adjacency", w(G45_SQL, ADJ_SQL) + "SELECT id, array_to_string(nbrs, ' ') AS nbrs, deg FROM adj")(lambda s, d: G(s, d).adjacency().select("id", text("nbrs").alias("nbrs"), "deg"))
-query("graph_unsort", w(G45_SQL) + "SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY (dst * 1103515245 + src * 12345) % 2147483647, dst) AS nbrs FROM e GROUP BY 1")(lambda s, d: G(s, d).unsorted().select("id", text("nbrs").alias("nbrs")))
+part_query("graph_adjacency", w(G45_SQL, ADJ_SQL) + "SELECT id, array_to_string(nbrs, ' ') AS nbrs, deg FROM adj")(lambda g: g.adjacency().select("id", text("nbrs").alias("nbrs"), "deg"))
+part_query("graph_unsort", w(G45_SQL) + "SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY (dst * 1103515245 + src * 12345) % 2147483647, dst) AS nbrs FROM e GROUP BY 1")(lambda g: g.unsorted().select("id", text("nbrs").alias("nbrs")))
 
 # --- traversal -----------------------------------------------------------------------------------------------------------------
 
 for direction in ("push", "pull", "auto"):
-    query(f"bfs_levels_{direction}", w(G45_SQL, BFS_SQL) + "SELECT id, level FROM bfs")(lambda s, d, how=direction: bfs.levels(G(s, d), direction=how))
+    part_query(f"bfs_levels_{direction}", w(G45_SQL, BFS_SQL) + "SELECT id, level FROM bfs")(lambda g, how=direction: bfs.levels(g, direction=how))
 query("bfs_levels_dense", w(GALL_SQL, BFS_SQL.replace("< 63", "< 8")) + "SELECT id, level FROM bfs")(lambda s, d: bfs.levels(G(s, d, None)))
 
 
-@query("bfs_level_stats", w(G45_SQL, BFS_SQL, DEG_SQL) + "SELECT level, count(*) AS vertices, CAST(sum(deg) AS BIGINT) AS edges FROM bfs JOIN d USING (id) GROUP BY 1")
-def bfs_level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = G(spark, sf_dir)
+@part_query("bfs_level_stats", w(G45_SQL, BFS_SQL, DEG_SQL) + "SELECT level, count(*) AS vertices, CAST(sum(deg) AS BIGINT) AS edges FROM bfs JOIN d USING (id) GROUP BY 1")
+def bfs_level_stats(g: Graph) -> DataFrame:
     return bfs.level_stats(g, bfs.levels(g))
 
 
-@query("bfs_level_prefix_sum", w(G45_SQL, BFS_SQL, 's AS (SELECT level, count(*) AS vertices FROM bfs GROUP BY 1)') + 'SELECT level, vertices, CAST(coalesce(sum(vertices) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start" FROM s')
-def _(spark, sf_dir):
-    g = G(spark, sf_dir)
+@part_query("bfs_level_prefix_sum", w(G45_SQL, BFS_SQL, 's AS (SELECT level, count(*) AS vertices FROM bfs GROUP BY 1)') + 'SELECT level, vertices, CAST(coalesce(sum(vertices) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start" FROM s')
+def _(g):
     return bfs.level_offsets(bfs.levels(g).groupBy("level").agg(F.count("*").alias("vertices")))
 
 
-@query("bfs_unreached", w(G45_SQL, BFS_SQL) + "SELECT DISTINCT src AS id FROM e WHERE src NOT IN (SELECT id FROM bfs)")
-def _(spark, sf_dir):
-    g = G(spark, sf_dir)
+@part_query("bfs_unreached", w(G45_SQL, BFS_SQL) + "SELECT DISTINCT src AS id FROM e WHERE src NOT IN (SELECT id FROM bfs)")
+def _(g):
     return bfs.unreached(g, bfs.levels(g))
 
 
-@query("bfs_trace_replay", w(G45_SQL, BFS_SQL) + "SELECT a.level, count(*) AS scanned, count(*) FILTER (WHERE b.level > a.level + 1) AS deeper FROM e JOIN bfs a ON a.id = e.src JOIN bfs b ON b.id = e.dst GROUP BY 1")
-def _(spark, sf_dir):
-    g = G(spark, sf_dir)
+@part_query("bfs_trace_replay", w(G45_SQL, BFS_SQL) + "SELECT a.level, count(*) AS scanned, count(*) FILTER (WHERE b.level > a.level + 1) AS deeper FROM e JOIN bfs a ON a.id = e.src JOIN bfs b ON b.id = e.dst GROUP BY 1")
+def _(g):
     return bfs.replay(g, bfs.levels(g))
 
 
-@query("bfs_level_changes", w(G45_SQL, BFS_SQL) + "SELECT id, level, coalesce(lag(level) OVER (ORDER BY level, id) <> level, true) AS changed FROM bfs")
-def _(spark, sf_dir):
-    reached = bfs.levels(G(spark, sf_dir))
+@part_query("bfs_level_changes", w(G45_SQL, BFS_SQL) + "SELECT id, level, coalesce(lag(level) OVER (ORDER BY level, id) <> level, true) AS changed FROM bfs")
+def _(g):
+    reached = bfs.levels(g)
     first = reached.groupBy("level").agg(F.min("id").alias("first"))
     return reached.join(first, "level").select("id", "level", (F.col("id") == F.col("first")).alias("changed"))
 
 
-query("cc_labels", w(G45_SQL, CC_SQL) + "SELECT id, component FROM cc")(lambda s, d: components.component_labels(G(s, d)))
-query("cc_sizes", w(G45_SQL, CC_SQL) + "SELECT component, count(*) AS size FROM cc GROUP BY 1")(lambda s, d: components.component_sizes(components.component_labels(G(s, d))))
-query("cc_pointer_jump", w(G45_SQL, CC_SQL) + "SELECT id, component FROM cc")(lambda s, d: components.label_rounds(G(s, d)))
-query("bc_sigma", w(G45_SQL, BFS_SQL, PATHS_SQL) + "SELECT id, level, sigma FROM sg JOIN bfs USING (id)")(lambda s, d: bc.sigma(G(s, d)))
-query("bc_sigma_by_level", w(G45_SQL, BFS_SQL, PATHS_SQL) + "SELECT level, count(*) AS vertices, CAST(sum(sigma) AS BIGINT) AS sigma FROM sg JOIN bfs USING (id) GROUP BY 1")(lambda s, d: bc.sigma(G(s, d)).groupBy("level").agg(F.count("*").alias("vertices"), F.sum("sigma").cast("long").alias("sigma")))
+part_query("cc_labels", w(G45_SQL, CC_SQL) + "SELECT id, component FROM cc")(lambda g: components.component_labels(g))
+part_query("cc_sizes", w(G45_SQL, CC_SQL) + "SELECT component, count(*) AS size FROM cc GROUP BY 1")(lambda g: components.component_sizes(components.component_labels(g)))
+part_query("cc_pointer_jump", w(G45_SQL, CC_SQL) + "SELECT id, component FROM cc")(lambda g: components.label_rounds(g))
+part_query("bc_sigma", w(G45_SQL, BFS_SQL, PATHS_SQL) + "SELECT id, level, sigma FROM sg JOIN bfs USING (id)")(lambda g: bc.sigma(g))
+part_query("bc_sigma_by_level", w(G45_SQL, BFS_SQL, PATHS_SQL) + "SELECT level, count(*) AS vertices, CAST(sum(sigma) AS BIGINT) AS sigma FROM sg JOIN bfs USING (id) GROUP BY 1")(lambda g: bc.sigma(g).groupBy("level").agg(F.count("*").alias("vertices"), F.sum("sigma").cast("long").alias("sigma")))
 BC_SQL = w(G45_SQL, BFS_SQL, PATHS_SQL, "x AS (SELECT p.id AS ending, unnest(p.path) AS v FROM p)", "dl AS (SELECT v, sum(1.0 / sigma) AS delta FROM x JOIN sg ON sg.id = x.ending WHERE v <> ending GROUP BY 1)") + "SELECT bfs.id, level, sigma, round(CAST(coalesce(delta, 0) AS DOUBLE), 6) AS delta, round(CAST(CASE WHEN level = 0 THEN 0 ELSE coalesce(delta, 0) END AS DOUBLE), 6) AS total FROM bfs JOIN sg USING (id) LEFT JOIN dl ON dl.v = bfs.id"
-query("bc_delta", BC_SQL)(lambda s, d: bc.betweenness(G(s, d)).select("id", "level", "sigma", r6("delta").alias("delta"), r6("total").alias("total")))
+part_query("bc_delta", BC_SQL)(lambda g: bc.betweenness(g).select("id", "level", "sigma", r6("delta").alias("delta"), r6("total").alias("total")))
 
 # --- triangles and traces ------------------------------------------------------------------------------------------------------
 
-query("tri_edge_counts", w(G45_SQL, TRI_SQL) + "SELECT src, dst, triangles FROM tri")(lambda s, d: tri.edge_triangles(G(s, d)))
+part_query("tri_edge_counts", w(G45_SQL, TRI_SQL) + "SELECT src, dst, triangles FROM tri")(lambda g: tri.edge_triangles(g))
 query("tri_edge_counts_dense", w(GALL_SQL, TRI_SQL) + "SELECT src, dst, triangles FROM tri")(lambda s, d: tri.edge_triangles(G(s, d, None)))
-query("tri_edge_intersections", w(G45_SQL, TRI_SQL, DEG_SQL) + "SELECT src, dst, triangles, a.deg + b.deg AS intersect_ops FROM tri JOIN d a ON a.id = src JOIN d b ON b.id = dst")(lambda s, d: tri.edge_intersections(G(s, d)))
+part_query("tri_edge_intersections", w(G45_SQL, TRI_SQL, DEG_SQL) + "SELECT src, dst, triangles, a.deg + b.deg AS intersect_ops FROM tri JOIN d a ON a.id = src JOIN d b ON b.id = dst")(lambda g: tri.edge_intersections(g))
 
 
 @query("tri_total", w(GALL_SQL) + "SELECT CAST(count(*) AS BIGINT) AS directed_sum, CAST(count(*) // 6 AS BIGINT) AS triangles FROM e JOIN e x ON x.src = e.src JOIN e y ON y.src = e.dst AND y.dst = x.dst")
@@ -107,14 +124,14 @@ def tri_total(spark, sf_dir):
 
 
 query("tri_bipartite_total", w(BIP_SQL) + "SELECT count(*) AS triangles FROM e JOIN e x ON x.src = e.src JOIN e y ON y.src = e.dst AND y.dst = x.dst")(lambda s, d: tri.triangle_count(fx.trade_graph(s, d)))
-query("tri_vertex_counts", w(G45_SQL, VTRI_SQL) + "SELECT id, deg, triangles FROM vt")(lambda s, d: tri.vertex_triangles(G(s, d)))
+part_query("tri_vertex_counts", w(G45_SQL, VTRI_SQL) + "SELECT id, deg, triangles FROM vt")(lambda g: tri.vertex_triangles(g))
 CLUSTER = "SELECT id, deg, triangles, round(CASE WHEN deg > 1 THEN triangles / CAST({} AS DOUBLE) ELSE 0 END, 6) AS cc FROM vt"
-query("tri_clustering_local", w(G45_SQL, VTRI_SQL) + CLUSTER.format("deg * (deg - 1)"))(lambda s, d: tri.clustering(tri.vertex_triangles(G(s, d))).withColumn("cc", r6("cc")))
-query("tri_clustering_legacy", w(G45_SQL, VTRI_SQL) + CLUSTER.format("deg * deg - 1"))(lambda s, d: tri.clustering(tri.vertex_triangles(G(s, d)), legacy=True).withColumn("cc", r6("cc")))
-query("tri_clustering_mean", w(G45_SQL, VTRI_SQL) + "SELECT round(sum(CASE WHEN deg > 1 THEN triangles / CAST(deg * (deg - 1) AS DOUBLE) ELSE 0 END) / count(*), 6) AS mean_cc FROM vt")(lambda s, d: tri.mean_clustering(tri.clustering(tri.vertex_triangles(G(s, d)))).select(r6("mean_cc").alias("mean_cc")))
+part_query("tri_clustering_local", w(G45_SQL, VTRI_SQL) + CLUSTER.format("deg * (deg - 1)"))(lambda g: tri.clustering(tri.vertex_triangles(g)).withColumn("cc", r6("cc")))
+part_query("tri_clustering_legacy", w(G45_SQL, VTRI_SQL) + CLUSTER.format("deg * deg - 1"))(lambda g: tri.clustering(tri.vertex_triangles(g), legacy=True).withColumn("cc", r6("cc")))
+part_query("tri_clustering_mean", w(G45_SQL, VTRI_SQL) + "SELECT round(sum(CASE WHEN deg > 1 THEN triangles / CAST(deg * (deg - 1) AS DOUBLE) ELSE 0 END) / count(*), 6) AS mean_cc FROM vt")(lambda g: tri.mean_clustering(tri.clustering(tri.vertex_triangles(g))).select(r6("mean_cc").alias("mean_cc")))
 query("tri_intersect_ops", w(GALL_SQL, DEG_SQL) + "SELECT CAST(sum(2 * deg * deg) AS BIGINT) AS intersect_ops FROM d")(lambda s, d: tri.intersect_ops(G(s, d, None)))
-query("merge_steps", w(G45_SQL, ADJ_SQL, MERGE_SQL) + "SELECT src, dst, CAST(CASE WHEN lo <= hi THEN len(list_filter(a, lambda x: x <= hi)) + len(list_filter(b, lambda x: x <= hi)) ELSE 0 END AS BIGINT) AS steps FROM ab")(lambda s, d: tri.merge_steps(G(s, d)))
-query("merge_trace", w(G45_SQL, ADJ_SQL, MERGE_SQL, TRACE_SQL) + "SELECT src, dst, step, side, addr FROM trace")(lambda s, d: tri.merge_trace(G(s, d)))
+part_query("merge_steps", w(G45_SQL, ADJ_SQL, MERGE_SQL) + "SELECT src, dst, CAST(CASE WHEN lo <= hi THEN len(list_filter(a, lambda x: x <= hi)) + len(list_filter(b, lambda x: x <= hi)) ELSE 0 END AS BIGINT) AS steps FROM ab")(lambda g: tri.merge_steps(g))
+part_query("merge_trace", w(G45_SQL, ADJ_SQL, MERGE_SQL, TRACE_SQL) + "SELECT src, dst, step, side, addr FROM trace")(lambda g: tri.merge_trace(g))
 
 N = 1000
 TRACES = {
@@ -136,15 +153,10 @@ def scatter_sql(kind: str, dialect: str) -> str:
     return w(*ctes, TRACES[kind], "n AS (SELECT addr AS i, count(*) AS c FROM t GROUP BY 1)") + " UNION ALL ".join(f"SELECT CAST(i AS BIGINT) AS addr, '{op}' AS op, CAST({x} AS BIGINT) AS value FROM n" for op, x in rows.items())
 
 
-def trace_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    if kind == "mix":
-        return traces.mix(tri.merge_trace(G(spark, sf_dir)), N)
-    return (traces.linear if kind == "linear" else traces.random)(spark, N)
-
-
-for kind in TRACES:
-    for dialect in traces.DIALECTS:
-        query(f"trace_{kind}_scatter_{dialect}", scatter_sql(kind, dialect))(lambda s, d, k=kind, x=dialect: traces.scatter(trace_of(s, d, k), N, x, N // 2))
+for dialect in traces.DIALECTS:
+    query(f"trace_linear_scatter_{dialect}", scatter_sql("linear", dialect))(lambda s, d, x=dialect: traces.scatter(traces.linear(s, N), N, x, N // 2))
+    query(f"trace_random_scatter_{dialect}", scatter_sql("random", dialect))(lambda s, d, x=dialect: traces.scatter(traces.random(s, N), N, x, N // 2))
+    part_query(f"trace_mix_scatter_{dialect}", scatter_sql("mix", dialect))(lambda g, x=dialect: traces.scatter(traces.mix(tri.merge_trace(g), N), N, x, N // 2))
 
 # --- measurement frames --------------------------------------------------------------------------------------------------------
 
