@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from fathom.llm import decontaminate, jaccard, language, mixture, tokens
 from fathom.plans.staging import Workspace
 
+#: Five words and 0.8.
+NEAR = jaccard.Link(words=5, up=4, down=9)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go: null text, and text without a letter."""
@@ -19,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id stays."""
-    return jaccard.drop_linked(docs)
+    """Of every group of documents linked at ``NEAR`` the one with the smallest id stays."""
+    return jaccard.drop_linked(docs, link=NEAR)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
