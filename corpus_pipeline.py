@@ -17,7 +17,7 @@ NEAR = jaccard.Link(words=5, up=4, down=9)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go: null text, and text without a letter."""
+    """Documents whose language cannot be told go: null text, and text without a letter.  The model rejects no other."""
     return language.drop_unidentified(docs)
 
 

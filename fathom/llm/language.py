@@ -203,6 +203,10 @@ def sample(docs: DataFrame, text: str, lang: str, usable: Column | None = None)
     return {k: sorted(v) for k, v in out.items()}
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> tuple[DataFrame, str, str]:
     """``docs`` with the predicted language and its score; also the names of both columns.
 
@@ -216,7 +220,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> tuple[D
         def step(texts: pa.Array) -> list:
             plain = texts.to_pylist()
             lang, score = [UND] * len(plain), np.zeros(len(plain))
-            rows = [i for i, t in enumerate(plain) if t and any(map(str.isalpha, t))] if scorer else []
+            rows = [i for i, t in enumerate(plain) if has_letter(t)] if scorer else []
             if rows:
                 bits = scorer.bits([plain[i].encode("utf-8", "surrogatepass") for i in rows])
                 best = bits.argmin(axis=1)
@@ -244,6 +248,14 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The documents whose language could be told, with their own columns only."""
-    out, lang, _ = identify(docs)
-    return out.where(F.col(lang) != UND).select(*docs.columns)
+    """The documents whose language could be told, with their own columns only.
+
+    The model names the likeliest language of any text and never rejects one: what goes is null text and text without a letter.  With
+    nothing to learn from the same rows go, though ``identify`` has no name for the others.
+    """
+    samples = sample(docs, "text", "lang", ~held_out())
+    if samples:
+        out, lang, _ = predict(docs, train(samples))
+        return out.where(F.col(lang) != UND).select(*docs.columns)
+    out, (letters,) = append(docs, ["text"], lambda: lambda texts: [pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_())], [("has_letter", "boolean")])
+    return out.where(letters).select(*docs.columns)
