@@ -1,27 +1,33 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 The alphabet is words, the block two adjacent words: a window of m words gives shifts of up to m - 1 words, so most positions are never
-looked at.  Windows of equal length share one table; items shorter than a window have tables of their own.
+looked at.  Windows of equal length share one table; items shorter than a window have tables of their own.  Windows are numbers in
+arrays; a Python worker builds them once, for all its tasks.
 
 Defined results: null text has no words; an item without words is never found; an item id of null marks words but is not listed;
-repeated items and rows count as they are; columns of any name pass through.
+repeated items and rows count as they are; texts of any length are searched whole; without documents there are no rows, without items no
+hits; columns of any name pass through.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import append, text_bytes
+from fathom.llm.common import append, mix64, text_bytes
 
 WINDOW = 13
 #: Benchmark text that is searched for in one pass over the documents; more text takes more passes.
 BLOCK_BYTES = 16 << 20
+_SPREAD = 0x9E3779B1
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -32,67 +38,118 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search for word sequences of one length m."""
-
-    def __init__(self, patterns: dict[tuple[int, ...], Sequence], m: int, base: int):
-        self.m, self.base, self.block = m, base, min(2, m)
-        self.far = m - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.bucket: dict[int, list[tuple[list[int], Sequence]]] = defaultdict(list)
-        for p, owners in patterns.items():
-            for j in range(self.block - 1, m):
-                key, skip = self.key(p, j), m - 1 - j
-                if skip < self.shift.get(key, self.far):
-                    self.shift[key] = skip
-            self.bucket[self.key(p, m - 1)].append((list(p), owners))
-
-    def key(self, ids: Sequence[int], j: int) -> int:
-        return ids[j] if self.block == 1 else ids[j - 1] * self.base + ids[j]
-
-    def search(self, ids: list[int]) -> Iterable[tuple[int, Sequence]]:
-        """(start, owners) of every occurrence."""
-        m, far, shift, bucket, n, base, two = self.m, self.far, self.shift, self.bucket, len(ids), self.base, self.block == 2
+    """Search for all windows of one length m in a sequence of word numbers.
+
+    A block of two words has a slot, which is a hash of both; ``shift`` holds a byte for each slot, ``first`` where the slot's bucket of
+    windows begins.  Windows are places in ``words``, so a window costs some bytes, whatever its length.
+    """
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, owners: np.ndarray, m: int):
+        """``starts``: places of the windows, ``owners``: the item of each."""
+        self.m, self.block = m, min(2, m)
+        self.far = min(m - self.block + 1, 255)
+        bits = max(8, int(2 * len(starts)).bit_length())
+        self.mask, self.words = (1 << bits) - 1, array("i", words.tobytes())
+        starts, self.group, self.owners = self._distinct(words, starts, owners)
+        shift = np.full(1 << bits, self.far, np.uint8)
+        for j in range(self.block - 1, m):
+            np.minimum.at(shift, self._slots(words, starts + j), min(m - 1 - j, 255))
+        self.shift = shift.tobytes()
+        slots = self._slots(words, starts + m - 1)
+        order = np.argsort(slots, kind="stable")
+        self.first = array("I", np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=1 << bits))]).astype(np.uint32).tobytes())
+        self.starts = array("i", starts[order].astype(np.int32).tobytes())
+        self.which = array("i", order.astype(np.int32).tobytes())
+
+    def _distinct(self, words: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, array, array]:
+        """One place for each different window, and (where they begin, items) of the items that have it."""
+        h = np.zeros(len(starts), np.uint64)
+        for j in range(self.m):
+            h = mix64(h ^ words[starts + j].astype(np.uint64))
+        order = np.lexsort((starts, h))
+        starts, owners, h = starts[order], owners[order], h[order]
+        fresh = np.ones(len(starts), bool)
+        fresh[1:] = h[1:] != h[:-1]
+        for j in range(self.m):
+            fresh[1:] |= words[starts[1:] + j] != words[starts[:-1] + j]
+        return starts[fresh], array("i", np.append(np.flatnonzero(fresh), len(starts)).astype(np.int32).tobytes()), array("i", owners.astype(np.int32).tobytes())
+
+    def _slots(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        last = words[at].astype(np.int64)
+        return (last if self.block == 1 else words[at - 1].astype(np.int64) * _SPREAD + last) & self.mask
+
+    def search(self, ids: array) -> Iterator[tuple[int, int]]:
+        """(start, number of the window) of every occurrence."""
+        m, shift, first, starts, words, n, mask, two = self.m, self.shift, self.first, self.starts, self.words, len(ids), self.mask, self.block == 2
         i = m - 1
         while i < n:
-            key = ids[i - 1] * base + ids[i] if two else ids[i]
-            skip = shift.get(key, far)
+            slot = (ids[i - 1] * _SPREAD + ids[i] if two else ids[i]) & mask
+            skip = shift[slot]
             if skip:
                 i += skip
                 continue
             start = i - m + 1
-            for pattern, owners in bucket[key]:
-                if ids[start] == pattern[0] and ids[start : i + 1] == pattern:
-                    yield start, owners
+            for k in range(first[slot], first[slot + 1]):
+                p = starts[k]
+                if words[p] == ids[start] and words[p : p + m] == ids[start : i + 1]:
+                    yield start, self.which[k]
+                    break  # windows are distinct
             i += 1
 
+    def items(self, window: int) -> array:
+        return self.owners[self.group[window] : self.group[window + 1]]
+
 
 class Searcher:
     """All windows of a set of items."""
 
     def __init__(self, items: Iterable[tuple[object, str | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        by_len: dict[int, dict[tuple[int, ...], set]] = defaultdict(lambda: defaultdict(set))
+        self.names: list = []
+        ids, by_len, at = array("i"), defaultdict(list), 0
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            m = min(window, len(ids))
-            for j in range(len(ids) - m + 1 if m else 0):
-                by_len[m][tuple(ids[j : j + m])].add(item)
-        base = len(self.vocab) + 1
-        self.engines = [WuManber({p: tuple(o) for p, o in ps.items()}, m, base) for m, ps in sorted(by_len.items())]
+            own = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
+            if not own:
+                continue
+            ids.extend(own)
+            by_len[min(window, len(own))].append((at, len(own), len(self.names)))
+            self.names.append(item)
+            at += len(own)
+        words = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
+        self.engines = []
+        for m, places in sorted(by_len.items()):
+            counts = np.array([n - m + 1 for _, n, _ in places])
+            inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            self.engines.append(WuManber(words, np.repeat([a for a, _, _ in places], counts) + inside, np.repeat([i for _, _, i in places], counts), m))
 
     def find(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
         """(number of words, merged word spans that are hit, items)."""
-        get = self.vocab.get
-        ids = [get(w, 0) for w in words_of(text)]
+        get, words = self.vocab.get, words_of(text)
+        ids = array("i", [get(w, 0) for w in words])
         hits: list[tuple[int, int]] = []
         items: set = set()
         for engine in self.engines:
-            for start, owners in engine.search(ids):
+            found = set()
+            for start, window in engine.search(ids):
                 hits.append((start, start + engine.m))
-                items.update(owners)
+                found.add(window)
+            for window in found:
+                items.update(self.names[k] for k in engine.items(window))
         return len(ids), merge(hits), items
 
 
+#: The last searcher of a Python worker, which serves one task after another.
+_BUILT: dict[str, Searcher] = {}
+
+
+def _searcher(key: str, items: Callable[[], list], window: int) -> Searcher:
+    found = _BUILT.get(key)
+    if found is None:
+        _BUILT.clear()
+        found = _BUILT[key] = Searcher(items(), window)
+    return found
+
+
 def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of half-open spans; touching ones join."""
     out: list[tuple[int, int]] = []
@@ -115,10 +172,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     out, name = docs, ""
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        held = docs.sparkSession.sparkContext.broadcast(sorted(((r[0], r[1]) for r in part.collect()), key=repr))
+        held, key = docs.sparkSession.sparkContext.broadcast(sorted(((r[0], r[1]) for r in part.collect()), key=repr)), uuid.uuid4().hex
 
-        def make(held=held):
-            searcher = Searcher(held.value, window)
+        def make(held=held, key=key):
+            searcher = _searcher(key, lambda: held.value, window)
 
             def step(texts: pa.Array, before: pa.Array | None = None) -> list:
                 rows = []

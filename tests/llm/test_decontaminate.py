@@ -47,3 +47,28 @@ def test_empty_tables(spark, docs, none, corpus):
     assert dc.drop_contaminated(none, bench).count() == 0
     kept = dc.drop_contaminated(docs, nothing)
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_long_text(spark, docs, corpus):
+    """Half a million words, hit at both ends."""
+    bench = [(i, t) for i, t in items(corpus) if i in (1, 2)]
+    long = bench[0][1] + " x y" * 250_000 + " " + bench[1][1]
+    out, name = dc.find_benchmark(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    r = out.select(F.col(name).alias("h"), dc.n_hit(name).alias("hit"), dc.is_contaminated(name).alias("bad")).first()
+    assert (r.h.n_words, r.hit, sorted(r.h["items"]), r.bad) == (500_053, 53, ["1", "2"], False)
+
+
+def test_memory_of_the_tables():
+    """Under 10 MB for each MB of items."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    bench = [(str(i), " ".join(rng.choice(words) for _ in range(200))) for i in range(900)]
+    size = sum(len(t) for _, t in bench)
+    tracemalloc.start()
+    searcher = dc.Searcher(bench)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert searcher.find(bench[5][1])[1] == [(0, 200)]
+    assert size > 1_000_000 and held < 10 * size, held / size
