@@ -1,8 +1,8 @@
 """Exact substring removal by distributed prefix doubling over sampled suffixes.
 
 A byte goes when it lies in a string of LENGTH bytes that also starts earlier: in a document of smaller id, or in the same one further
-left.  A suffix array of all suffixes would hold a row a byte.  Which suffixes matter is decided by ranks of growing length, and only
-those that are not yet unique are carried on:
+left.  ``doubled`` below is the plain form, a row for every byte and round.  At a gigabyte that is some hundred times the shuffle that
+this operator can have, so ``remove_repeats`` ranks fewer suffixes by the same steps, growing ranks of those that are not yet unique:
 
 1. Rank by the first FIRST bytes, for one suffix out of some thirty: each window of LENGTH bytes names the suffix inside it whose
    FIRST bytes hash lowest, so equal windows name the same place.  Consecutive windows that name one place form a run.  Runs are sorted
@@ -14,15 +14,18 @@ those that are not yet unique are carried on:
 Ranks are 64-bit hashes (of powers of an odd base over random byte values, then mixed), so sorting them orders equal strings together;
 two different strings of a corpus share one with probability 2**-64.  Runs and windows travel in packed pieces by bucket of their rank.
 What repeats inside a step of some megabytes is settled on the spot, so a string that half of the corpus shares sends one row a step.
+A line shorter than LENGTH that very many documents have gives one first rank to as many different runs: a step that meets over CROWD of
+them knows already that they are not unique, passes them on to the longer ranks that tell them apart, and sends their first rank one run
+as a mark, which opens what other steps have of it.
 
 Defined results: null text is empty; a null document id counts as the smallest; rows that share an id are one document as far as
 "earlier" goes, so exact copies under one id keep their bytes, and different texts of one id lose what starts further left in another;
-other columns are not looked at.
+texts of any length are worked on whole, a long one in overlapping pieces; an empty table gives an empty one; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -30,14 +33,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fathom.llm.common import mix64, rows_of, text_bytes
-from fathom.plans.staging import Workspace
+from fathom.plans.staging import Workspace, checkpoint
 
 LENGTH = 100
 FIRST = 40
 #: Text bytes that a bucket stands for.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20
+#: Runs of one first rank that a step sends there.
+CROWD = 8
+#: Documents with open runs that are named to all tasks, 8 bytes each; beyond, all texts are dealt out again.
+BROADCAST_ROWS = 500_000
 #: Text bytes that are hashed at a time, and of which repeats are settled at once.
 PIECE = 1 << 20
 SETTLE = 16 << 20
@@ -155,8 +163,9 @@ def tag_of(text: str | None, tagged: bool) -> int:
     return xxhash.xxh32_intdigest((text or "").encode("utf-8", "surrogatepass")) << TAG_BIT if tagged else 0
 
 
-def id_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def text_bucket(doc: np.ndarray, start: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a text: by its id, and where texts share ids by its own hash, which its starts begin at."""
+    return (mix64(doc.view(np.uint64) ^ mix64((start >> TAG_BIT).astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
 
 
 def joined(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,9 +230,18 @@ def first_ranks(docs: DataFrame, buckets: int, length: int, first: int, tagged:
             held.clear()
             rest, same = first_of_each([full], doc, start)
             rest = rest[np.lexsort((start[rest], doc[rest]))]
-            rows = list(dealt(RANKS, (short[rest] >> np.uint64(1)).astype(np.int64) % buckets, short[rest], full[rest], doc[rest], start[rest], windows[rest].astype(np.int32)))
+            _, first_at, of, count = np.unique(short[rest], return_index=True, return_inverse=True, return_counts=True)
+            crowded = count[of] > CROWD
+            x = rest[crowded]
+            rows = list(dealt(OPEN, text_bucket(doc[x], start[x], buckets), doc[x], start[x], windows[x].astype(np.int32)))
+            mark = np.zeros(len(rest), bool)
+            mark[first_at] = True
+            mark &= crowded
+            x = rest[~crowded | mark]
+            marked = np.where(mark[~crowded | mark], -windows[x], windows[x]).astype(np.int32)  # a mark has its windows below zero
+            rows += dealt(RANKS, (short[x] >> np.uint64(1)).astype(np.int64) % buckets, short[x], full[x], doc[x], start[x], marked)
             d, s, w = joined(doc[same], start[same], windows[same])
-            rows += dealt(REMOVED, id_bucket(d, buckets), d, s, w.astype(np.int32))
+            rows += dealt(REMOVED, text_bucket(d, s, buckets), d, s, w.astype(np.int32))
             return table(rows)
 
         for batch in batches:
@@ -251,6 +269,7 @@ def settled(ranks: DataFrame, buckets: int, kinds: str) -> DataFrame:
         if pieces:
             cols = [np.concatenate(c) for c in zip(*[unpack(p, kinds) for p in pieces], strict=True)]
             keys, (doc, start, windows) = cols[: 2 if two else 1], cols[-3:]
+            marks, windows = windows < 0, np.abs(windows)
             heads, same = first_of_each(keys, doc, start)
             parts.append([doc[same], start[same], windows[same]])
             if two:
@@ -259,10 +278,11 @@ def settled(ranks: DataFrame, buckets: int, kinds: str) -> DataFrame:
                 if len(heads) > 1:
                     twin[1:] = short[1:] == short[:-1]
                     twin[:-1] |= twin[1:]
+                twin |= np.isin(short, keys[0][marks])
                 left = heads[twin]
-                rows += dealt(OPEN, id_bucket(doc[left], buckets), doc[left], start[left], windows[left])
+                rows += dealt(OPEN, text_bucket(doc[left], start[left], buckets), doc[left], start[left], windows[left])
         doc, start, windows = joined(*[np.concatenate(c) for c in zip(*parts, strict=True)]) if parts else (np.zeros(0, np.int64),) * 3
-        rows += dealt(REMOVED, id_bucket(doc, buckets), doc, start, windows.astype(np.int32))
+        rows += dealt(REMOVED, text_bucket(doc, start, buckets), doc, start, windows.astype(np.int32))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,21 +293,25 @@ def settled(ranks: DataFrame, buckets: int, kinds: str) -> DataFrame:
                 if bucket != key:
                     out += settle(pieces, removed)
                     key, pieces, removed = bucket, [], []
-                (pieces if kind == RANKS else removed).append(piece.as_py())
+                if kind == OPEN:
+                    out.append((kind, bucket, piece.as_py()))
+                else:
+                    (pieces if kind == RANKS else removed).append(piece.as_py())
             yield table(out)
         yield table(settle(pieces, removed))
 
     return ranks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _LIST)
 
 
-def beside(docs: DataFrame, lists: DataFrame, buckets: int) -> DataFrame:
+def beside(docs: DataFrame, lists: DataFrame, buckets: int, tagged: bool) -> DataFrame:
     """Documents behind the lists of their bucket, in one exchange."""
-    # the same number as id_bucket gives: both sides are dealt by a column that Python has made
+    # the same number as text_bucket gives: both sides are dealt by a column that Python has made
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0), np.int64)
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 9), pa.int32()), pa.array(id_bucket(ids, buckets), pa.int64()), batch.column(0), batch.column(1), pa.nulls(n, pa.binary())], names=["kind", "bucket", "doc_id", "text", "piece"])
+            tags = np.array([tag_of(t, tagged) for t in batch.column(1).to_pylist()] if tagged else np.zeros(n), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 9), pa.int32()), pa.array(text_bucket(ids, tags, buckets), pa.int64()), batch.column(0), batch.column(1), pa.nulls(n, pa.binary())], names=["kind", "bucket", "doc_id", "text", "piece"])
 
     return docs.mapInArrow(run, _LIST).unionByName(lists).repartition("bucket").sortWithinPartitions("bucket", "kind")
 
@@ -356,10 +380,10 @@ def window_ranks(docs: DataFrame, open_runs: DataFrame, buckets: int, length: in
             rest = rest[np.lexsort((start[rest], doc[rest]))]
             rows = list(dealt(RANKS, (rank[rest] >> np.uint64(1)).astype(np.int64) % buckets, rank[rest], doc[rest], start[rest], np.ones(len(rest), np.int32)))
             d, s, w = joined(doc[same], start[same], np.ones(len(same), np.int64))
-            rows += dealt(REMOVED, id_bucket(d, buckets), d, s, w.astype(np.int32))
+            rows += dealt(REMOVED, text_bucket(d, s, buckets), d, s, w.astype(np.int32))
             yield table(rows)
 
-    return beside(docs, open_runs, buckets).mapInArrow(run, _LIST)
+    return beside(docs, open_runs, buckets, tagged).mapInArrow(run, _LIST)
 
 
 def cut_out(docs: DataFrame, removed: DataFrame, buckets: int, length: int, tagged: bool = False) -> DataFrame:
@@ -383,14 +407,20 @@ def cut_out(docs: DataFrame, removed: DataFrame, buckets: int, length: int, tagg
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    out = beside(docs, removed, buckets).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    out = beside(docs, removed, buckets, tagged).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
-def _tidy(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does so when the driver's JVM collects their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The documents whose ids the lists name, if those are few enough to tell every task; otherwise all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.unique(unpack(p, "iis")[0]) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)) if ids else [], pa.int64())], names=["doc_id"])
+
+    named = lists.select("piece").mapInArrow(run, "doc_id long").distinct()
+    return docs.join(F.broadcast(named), "doc_id", "left_semi") if named.count() <= BROADCAST_ROWS else docs
 
 
 def texts_share_ids(rows: DataFrame) -> bool:
@@ -409,8 +439,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = max(64, math.ceil(text_bytes(rows) / BUCKET_BYTES))
     tagged = texts_share_ids(rows)
     a = space.put("runs", settled(first_ranks(rows, buckets, length, first, tagged), buckets, "uuiis"), codec="uncompressed")
-    _tidy(spark)
-    b = space.put("windows", settled(window_ranks(rows, a.where(F.col("kind") == OPEN), buckets, length, tagged), buckets, "uiis"), codec="uncompressed")
-    _tidy(spark)
+    still = a.where(F.col("kind") == OPEN)
+    b = space.put("windows", settled(window_ranks(with_lists(rows, still), still, buckets, length, tagged), buckets, "uiis"), codec="uncompressed")
     removed = a.unionByName(b).where(F.col("kind") == REMOVED)
     return cut_out(rows, removed, buckets, length, tagged)
+
+
+def doubled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(doc_id, start) of every string of ``length`` bytes that starts earlier too, by plain prefix doubling.
+
+    Suffixes are ranked by k bytes for k = 1, 2, 4, ...: pairs of the ranks at a place and k bytes further are sorted and renamed by the
+    place at which they come first.  Places whose rank is unique leave; the last round joins two overlapping ranks to ``length`` bytes.
+    The plain form of ``remove_repeats``, for tests and small corpora with one text an id: every round shuffles a row for every place left.
+    """
+    size = F.octet_length("text")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias("text"))
+    at = docs.where(size >= length).select("doc_id", "text", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    name = lambda *by: F.min(F.struct("doc_id", "start")).over(Window.partitionBy(*by))
+    many = lambda *by: F.count("*").over(Window.partitionBy(*by))
+    ranks = checkpoint(at.select("doc_id", "start", F.conv(F.hex(F.substring("text", F.col("start") + 1, 1)), 16, 10).cast("long").alias("byte")).select("doc_id", "start", name("byte").alias("rank")))
+    k = 1
+    while k < length:
+        step = min(k, length - k)
+        far = ranks.select("doc_id", (F.col("start") - step).alias("start"), F.col("rank").alias("next"))
+        pairs = ranks.join(far, ["doc_id", "start"])
+        ranks = checkpoint(pairs.select("doc_id", "start", name("rank", "next").alias("to"), many("rank", "next").alias("n")).where("n > 1").select("doc_id", "start", F.col("to").alias("rank")))
+        k += step
+    return ranks.where(F.struct("doc_id", "start") != F.col("rank")).select("doc_id", "start")

@@ -66,3 +66,42 @@ def test_different_texts_of_one_id(spark):
 def test_kept_hash_matches_operator(docs):
     out = suffixes.remove_repeats(docs)
     assert out.where(F.octet_length("kept") > F.col("n_bytes")).count() == 0
+
+
+def test_a_line_that_thousands_share(spark):
+    """90 bytes inside texts that differ: one first rank, and as many runs.  No bucket of ranks gets more than a few of them a step."""
+    rng = random.Random(17)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    texts = ["".join(rng.choice("tuvwxyz ") for _ in range(60)) + line + "".join(rng.choice("tuvwxyz ") for _ in range(60)) for _ in range(5000)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(9000, texts[17]), (9001, texts[40][30:]), (9002, texts[41][:170] + "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    ranks = suffixes.first_ranks(df, 64, 100, 40).where(F.col("kind") == suffixes.RANKS)
+    sizes = [len(suffixes.unpack(r.piece, "uuiis")[0]) for r in ranks.groupBy("bucket", "piece").count().collect()]
+    by_bucket = {}
+    for r in ranks.collect():
+        by_bucket[r.bucket] = by_bucket.get(r.bucket, 0) + len(suffixes.unpack(r.piece, "uuiis")[0])
+    assert max(by_bucket.values()) < 0.1 * sum(sizes)
+    assert result(df) == expected(rows, 100)
+
+
+def test_marks_open_what_other_steps_have(spark, monkeypatch):
+    """One step knows that a rank is crowded; the earliest copy is in another step."""
+    monkeypatch.setattr(suffixes, "CROWD", 2)
+    rng = random.Random(23)
+    line = "".join(rng.choice("ab") for _ in range(14))
+    rows = [(i, "".join(rng.choice("cd") for _ in range(rng.randint(0, 9))) + line + "".join(rng.choice("cd") for _ in range(rng.randint(0, 9)))) for i in range(200)]
+    for parts in (1, 2, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        assert result(df, length=20, first=8) == expected(rows, 20)
+
+
+@pytest.mark.parametrize("length", [5, 8, 20])
+def test_plain_doubling(spark, length):
+    rng = random.Random(length)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for i in range(30)] + [(50, None), (51, ""), (52, "ba" * 30)]
+    got = sorted(map(tuple, suffixes.doubled(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()))
+    first = {}
+    data = [(d, (t or "").encode()) for d, t in rows]
+    want = [(d, p) for d, b in data for p in range(len(b) - length + 1) if first.setdefault(b[p : p + length], (d, p)) != (d, p)]
+    assert got == sorted(want)
