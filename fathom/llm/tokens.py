@@ -10,7 +10,8 @@ File: ``FWM1``, then little-endian: bits of an id (u32), ids (u64), documents (u
 (bits, most significant first).  All but the planes are compressed with zstandard; planes are stored as they are.
 
 Defined results: null text gives only the end id; a null document id sorts and stays first as the smallest 64-bit number in files and
-comes back as null; rows that share a document id follow each other in the order of their texts; an empty table gives no shards.
+comes back as null; rows that share a document id follow each other in the order of their texts' hashes, so a repeated row is encoded again next to the
+first; an empty table gives no shards; texts of any length are encoded whole; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from contextlib import contextmanager
-from threading import Timer
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ END = 2
 MAGIC = b"FWM1"
 NULL_ID = -(1 << 63)
 STEP = 512
-#: Chunks and words that a worker remembers, and for how many idle seconds.
-CHUNKS, PIECES, IDLE = 450_000, 600_000, 0.5
+#: Chunks and words that a worker remembers, some 150 bytes each.
+CHUNKS, PIECES = 450_000, 600_000
 
 # How byte-level vocabularies write the bytes that have no printable character.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -128,27 +128,17 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
-_TASKS = [0]
+_LOCK = Lock()
 
 
-@contextmanager
-def encoder(path: str) -> Iterator[Encoder]:
-    """The worker's encoder, which a task that follows soon finds filled; a worker that goes on to other work gives up the memory."""
-    _TASKS[0] += 1
-    mine = _TASKS[0]
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    try:
-        yield _ENCODERS[path]
-    finally:
-
-        def forget() -> None:
-            if _TASKS[0] == mine:
-                _ENCODERS.pop(path, None)
-
-        timer = Timer(IDLE, forget)
-        timer.daemon = True
-        timer.start()
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, which the next task finds filled; one path is held at a time."""
+    with _LOCK:
+        found = _ENCODERS.get(path)
+        if found is None:
+            _ENCODERS.clear()
+            found = _ENCODERS[path] = Encoder(path)
+        return found
 
 
 class Wavelet:
@@ -273,20 +263,19 @@ def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, Wavelet]:
 def write_shards(docs: DataFrame, space: Workspace, name: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode, sort and write; gives the table of files (shard, first_doc, n_docs, n_tokens, payload).
 
-    Documents are dealt to tasks by ranges of ids, so files are in order among each other and no task sees the whole.
+    Documents are dealt to tasks by ranges of ids (and of hashes inside an id), so files are in order among each other and no task sees the whole.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text).alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "d").sortWithinPartitions("d", "t")
+    # the text's hash splits an id that has very many rows, such as the null one
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    ordered = rows.repartitionByRange(parts, "d", "h").sortWithinPartitions("d", "h", "t").select("d", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(tokenizer) as coder:
-            yield from coded(batches, coder)
-
-    def coded(batches: Iterator[pa.RecordBatch], coder: Encoder) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        coder = encoder(tokenizer)
         width = 2 if coder.kind == "H" else 4
         stop, task = array(coder.kind, [end]).tobytes(), TaskContext.get().partitionId()
         held_ids: list[int] = []

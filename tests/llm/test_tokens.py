@@ -80,3 +80,20 @@ def test_files_answer_queries(docs, spark):
     assert len(rows) > 3
     _, lengths, w = tokens.unpack(bytes(rows[0].payload))
     assert w.count(tokens.END) >= len(lengths) and sum(lengths) == w.n == rows[0].n_tokens
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows without an id are dealt to several tasks and still come first."""
+    rows = [(None if i % 3 else i, f"text number {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    space = Workspace(spark)
+    files = tokens.write_shards(docs, space, "f", tokens.word_tokenizer(), shard_tokens=40)
+    first = files.where(f"first_doc = {tokens.NULL_ID}")
+    assert first.select("shard").rdd.map(lambda r: r.shard >> 32).distinct().count() > 1
+    got = tokens.read_shards(files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert at == sum(len(whole(t)) + 1 for _, t in rows)
