@@ -9,7 +9,8 @@ from words of the texts; the sample of texts is bounded by TRAIN_DOCS.  A candid
 log-likelihood ratio reaches MIN_LLR nats in all.
 
 Defined results: null or empty texts have no spans; the same span is reported once per kind; candidates that overlap a fixed match are
-left out; without training rows the generated digests and no words are learnt from.  Columns of any name pass through.
+left out; without training rows the generated digests and no words are learnt from; repeated rows get the same spans, an empty table
+none; texts of any length are searched whole.  Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MIN_LLR = 12.0
 PRIOR = 8.0
 TRAIN_DOCS = 4000
 SAMPLES = 2000
+#: Matches whose places are summed up at a time.
+CHUNK = 512
 
 
 def _symbols(c: Column) -> Column:
@@ -54,17 +57,26 @@ SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 def _placed(text: Column, found: Column, pattern: str, kind: int, keep) -> Column:
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    sizes = "array<struct<gap:int,hit:int,value:string>>"
+    pairs = F.zip_with(gaps, found, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), h.alias("value")))
+    pairs = F.filter(pairs, lambda p: p["value"].isNotNull()).cast(sizes)
+    out = F.get(F.transform(F.array(pairs), lambda p: _summed(p, sizes, kind)), F.lit(0))  # evaluates ``pairs`` once
+    return out if keep is None else F.filter(out, lambda s: keep(s["value"]))
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.length(pair["gap"])
-        stop = at + F.length(pair["hit"])
-        one = F.struct(at.cast("int").alias("start"), F.lit(kind).alias("kind"), stop.cast("int").alias("stop"), pair["hit"].alias("value"))
-        ok = F.lit(True) if keep is None else keep(pair["hit"])
-        return F.struct(stop.cast("int").alias("at"), F.when(ok, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    pairs = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), start, step, lambda acc: acc["out"])
+def _summed(pairs: Column, sizes: str, kind: int) -> Column:
+    """Spans from gaps and matches.  Running sums append to a list, which copies it, so they are made inside chunks and over the chunks."""
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(pairs) - 1) / CHUNK), F.lit(0)).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, CHUNK))
+    chunks = F.transform(cut, lambda c: F.struct(c.alias("pairs"), F.aggregate(c, F.lit(0), lambda n, p: n + p["gap"] + p["hit"]).alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<pairs:{sizes},at:int>>").alias("out"))
+    placed = F.aggregate(chunks, start, lambda acc, c: F.struct((acc["at"] + c["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(c["pairs"].alias("pairs"), acc["at"].alias("at")))).alias("out")), lambda acc: acc["out"])
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + p["gap"]
+        one = F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + p["hit"]).alias("stop"), p["value"].alias("value"))
+        return F.struct((at + p["hit"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    return F.flatten(F.transform(placed, lambda c: F.aggregate(c["pairs"], F.struct(c["at"].alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])))
 
 
 def base_spans(text: Column) -> Column:
@@ -76,13 +88,14 @@ def base_spans(text: Column) -> Column:
 def train(docs: DataFrame, text: str = "text") -> list[float]:
     """Log-likelihood ratio of every transition, random over ordinary: WIDTH * WIDTH numbers.
 
-    The sample is the texts whose hash falls below TRAIN_DOCS over the number of texts: bounded in expectation, the same on every run.
+    The sample is the different texts whose hash falls below TRAIN_DOCS over the number of different texts: bounded in expectation, the
+    same on every run, and a text counts once however many copies it has.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
-    n = rows.count()
-    key = F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / float(1 << 40)
-    few = rows.where(key < min(1.0, TRAIN_DOCS / max(n, 1)))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    n = rows.select("h").distinct().count()
+    key = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    few = rows.where(key < min(1.0, TRAIN_DOCS / max(n, 1))).dropDuplicates(["h"])
     values = F.transform(base_spans(F.col("t")), lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 1)).otherwise(s["value"]))
     found = few.select(F.explode(values).alias("s"), F.lit(1).alias("random"))
     digest = F.sha2(F.col("id").cast("string"), 256)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from llm_brute import secrets as plain
 from llm_helpers import frame
@@ -36,6 +37,39 @@ def test_fixed_kinds(spark, docs, corpus):
         assert set(want) <= set(r.s.split(",")) | {""}
 
 
+def test_thousands_of_matches_in_a_text(spark):
+    """More than a chunk of them, and copies of a text count once for the models."""
+    text = " ".join(f"token={i:08d} {i:030x}" for i in range(1500))
+    out, base, _ = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert out.select(secrets.listing(F.col(base))).first()[0] == ",".join(plain(text))
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    few, many = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, rows + [(99, TEXTS[7])] * 50))
+    assert secrets.train(few) == secrets.train(many)
+
+
+def plain_ratio(value, model):
+    x = [secrets.SYMBOLS.find(c) + 1 for c in value]
+    return sum(model[a * secrets.WIDTH + b] for a, b in zip(x, x[1:], strict=False))
+
+
+def test_markov_spans_against_plain(spark):
+    """Every candidate outside the fixed spans whose ratio reaches the threshold, and no other."""
+    rng = random.Random(12)
+    parts = ["".join(rng.choice(secrets.SYMBOLS[:64]) for _ in range(30)) for _ in range(20)] + ["the" * 9, "information_retrieval_engine", "password=abcdefgh", "0f" * 13, "é", "a.b"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.train(df)
+    out, _, every = secrets.scan(df, model=model)
+    seen = 0
+    for r in out.select("text", secrets.listing(F.col(every)).alias("s")).collect():
+        fixed = [tuple(map(int, x.split(":")[1:])) for x in plain(r.text)]
+        want = [f"markov:{m.start()}:{m.end()}" for m in re.finditer(secrets.CANDIDATE, r.text) if not any(a < m.end() and m.start() < b for a, b in fixed) and plain_ratio(m[0], model) >= secrets.MIN_LLR]
+        got = [x for x in r.s.split(",") if x.startswith("markov")]
+        assert got == want
+        seen += len(got)
+    assert seen > 20
+
+
 def test_models_tell_random_from_words(spark):
     ordinary = [" ".join(random.Random(i).choices(["information", "retrieval_engine", "configuration", "understanding", "documentation_index"], k=30)) for i in range(40)]
     tokens = [hashlib.sha512(bytes([i])).digest() for i in range(20)]
