@@ -189,8 +189,8 @@ def sample(docs: DataFrame, text: str, lang: str, usable: Column | None = None)
     Which rows are taken depends on the texts alone, so every run trains the same model.  Copies of a text count once, both for the
     share to take and in the sample, so a text with any number of copies stays within the bound.
     """
-    rows = docs.where(F.col(lang).isNotNull() & (F.octet_length(F.col(text)) > 0) & (F.octet_length(F.col(text)) <= LONGEST))
-    rows = (rows if usable is None else rows.where(usable)).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    rows = docs.where(F.col(lang).isNotNull() & (F.octet_length(F.col(text)) > 0))
+    rows = (rows if usable is None else rows.where(usable)).select(F.col(lang).cast("string").alias("l"), F.left(F.col(text), F.lit(LONGEST)).alias("t"), F.xxhash64(text).alias("h"))
     totals = {r[0]: r[1] for r in rows.groupBy("l", "h").agg(F.max(F.octet_length("t").cast("long")).alias("n")).groupBy("l").agg(F.sum("n")).collect()}
     if not totals:
         return {}
