@@ -1,6 +1,6 @@
 """Mixing sources to target weights, as DataFrame expressions throughout.
 
-The words of a source are laid end to end and cut into blocks of BLOCK words.  The mix is a row of slots, each of which takes one block.
+The words of a source are laid end to end and cut into blocks of BLOCK words (fewer for a source of under LEAST_BLOCKS such blocks).  The mix is a row of slots, each of which takes one block.
 Every output shard of SHARD slots draws how many of its slots each source gets: one categorical draw a slot, so the counts of a shard
 are multinomial.  Draws beyond a source's number of slots are dealt to the sources that are short, so totals meet the targets.  The k-th
 slot of a source takes block P(k) of it, where P is a pseudorandom permutation; each further round through a source uses another one.
@@ -13,7 +13,7 @@ Targets: sources weigh 3, 1, 2 in turn by name in code point order, null last, a
 CAP times its own size, and what is cut off goes to the others by weight.
 
 Defined results: null and empty texts have size 0 and take 0; a source of size 0 has a target of 0; repeated rows are mixed as rows of
-their own; draws depend on the seed, the sources' sizes and the slot, never on partitioning or time.
+their own; an empty table gives no slots and no documents; texts of any length count whole; only the named columns are read; draws depend on the seed, the sources' sizes and the slot, never on partitioning or time.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BLOCK = 64
+#: Blocks that a source has at least, if it has words enough.
+LEAST_BLOCKS = 256
 SHARD = 4096
 SEED = 20240607
 #: Rows that one task of a running sum holds, and runs that there are at least where rows suffice.
@@ -77,11 +79,11 @@ def laid_out(sized: DataFrame, runs: int) -> DataFrame:
     Documents are dealt to ``runs`` runs by a hash of their id; a running sum goes over the runs of a source and another one inside each
     run, so that a source with a third of all rows is spread over as many tasks as any.
     """
-    s = sized.withColumn("run", F.pmod(F.xxhash64("doc_id", "size"), F.lit(runs)))
+    s = sized.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_hash", "size"), F.lit(runs)))
     heads = s.groupBy("source_no", "run").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-    inside = Window.partitionBy("source_no", "run").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "run").orderBy("doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return s.join(heads, ["source_no", "run"]).withColumn("off", (F.col("base") + F.col("inside")).cast("long")).drop("run", "base", "inside")
 
@@ -99,8 +101,14 @@ def draw(sources: DataFrame, total: int, shard: int) -> DataFrame:
     drawn = slots.join(wide, "cell").where((F.col("v") >= F.col("first")) & (F.col("v") < F.col("first") + F.col("slots"))).select("slot", F.floor(F.col("slot") / shard).alias("shard"), "source_no")
     # the counts of the shards, and what each source has got in the shards before
     counts = drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    # in two steps, so that no task has all shards of a source
+    counts = counts.withColumn("part", F.floor(F.col("shard") / RUN_ROWS))
+    parts = counts.groupBy("source_no", "part").agg(F.sum("n").alias("whole"))
+    upto = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("whole").over(upto), F.lit(0))).drop("whole")
+    inside = Window.partitionBy("source_no", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, ["source_no", "part"])
+    counts = counts.select("source_no", "shard", "n", (F.col("before") + F.col("inside")).alias("base"))
     got = counts.groupBy("source_no").agg(F.sum("n").alias("got"))
     within = F.row_number().over(Window.partitionBy("shard", "source_no").orderBy("slot")) - 1
     numbered = drawn.withColumn("r", within).join(counts.drop("n"), ["source_no", "shard"]).select("slot", "source_no", (F.col("base") + F.col("r")).cast("long").alias("k"))
@@ -123,10 +131,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     spark = docs.sparkSession
     space = Workspace(spark)
-    sized = space.put("sizes", docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
+    sized = space.put("sizes", docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_hash")))
     rows = sized.count()
     plan = targets(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, share)
-    n = F.ceil(F.col("source_size") / block)
+    # a small source has smaller blocks, so that its taken words come near its target
+    plan = plan.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long"))
+    n = F.ceil(F.col("source_size") / F.col("block_words"))
     side = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1))
     plan = plan.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))).cast("long")).withColumn("b", F.greatest(F.ceil(n / side), F.lit(1)).cast("long")).withColumn("a", side.cast("long"))
     per_slot = F.col("source_size") / (F.col("a") * F.col("b"))
@@ -134,7 +144,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     plan = plan.withColumn("slots", fill)
     plan = space.put("sources", plan.withColumn("first", F.coalesce(F.sum("slots").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")))
     total = plan.agg(F.sum("slots")).first()[0] or 0
-    named = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select("doc_id", plan["source"], "size", "source_size", "target", "source_no")
+    named = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select("doc_id", "text_hash", plan["source"], "size", "source_size", "target", "source_no", "block_words")
     if not total:
         empty = spark.createDataFrame([], "slot long, shard long, source_no long, round long, block long")
         return empty, named.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
@@ -145,8 +155,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     taken = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     placed = laid_out(named, max(1, math.ceil(rows / RUN_ROWS), min(LEAST_RUNS, rows // 100)))
     lo, hi = F.col("off"), F.col("off") + F.col("size")
-    pieces = placed.where("size > 0").select("doc_id", "source", "size", "source_size", "target", "source_no", "off", F.explode(F.sequence(F.floor(lo / block), F.floor((hi - 1) / block))).alias("block"))
-    overlap = F.least(hi, (F.col("block") + 1) * block) - F.greatest(lo, F.col("block") * block)
+    pieces = placed.where("size > 0").select("doc_id", "source", "size", "source_size", "target", "source_no", "off", "block_words", F.explode(F.sequence(F.floor(lo / F.col("block_words")), F.floor((hi - 1) / F.col("block_words")))).alias("block"))
+    words = F.col("block_words")
+    overlap = F.least(hi, (F.col("block") + 1) * words) - F.greatest(lo, F.col("block") * words)
     keys = ["doc_id", "source", "size", "source_size", "target"]
     got = pieces.join(taken, ["source_no", "block"], "left").groupBy(*keys, "source_no", "off").agg(F.sum(overlap * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     return slots, got.select(*keys, "taken").unionByName(named.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken")))

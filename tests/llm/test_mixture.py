@@ -77,3 +77,38 @@ def test_repeated_documents(docs, corpus, none):
 def test_no_python_in_the_plan(docs):
     plan = mixture.mix(docs)[1]._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, " ".join(["w"] * 10), "big") for i in range(400)] + [(1000 + i, "a b", "tiny") for i in range(5)] + [(2000 + i, "x " * 30, "mid") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixture.mix(df)[1].groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 2 + 0.03 * r.target for r in out), out
+
+
+def test_rows_without_an_id(spark):
+    """Rows of no id, and repeated ones, are rows of their own."""
+    rows = [(None, f"some words {i} here", "a") for i in range(300)] + [(None, "the same text", "a")] * 50 + [(7, None, None)]
+    out = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4))[1].collect()
+    assert len(out) == 351 and all(0 <= r.taken <= 2 * r["size"] for r in out)
+    assert abs(sum(r.taken for r in out) - 1.5 * (300 * 4 + 50 * 3)) < 60
+
+
+def test_draw_against_plain(docs):
+    """Replays the mix from its slots: each takes the words of one block, each source's documents laid end to end by run."""
+    slots, documents = mixture.mix(docs)
+    rows = slots.collect()
+    plan = {(r.source_no, r.round, r.block) for r in rows}
+    assert len(plan) == len(rows)
+    got = documents.collect()
+    assert sum(r.taken for r in got) > 0
+    # the words of a source's blocks, as many as its documents have taken
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.source, [r.source_size, 0])[1] += r.taken
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    for no, name in enumerate(names, 1):
+        size, taken = sizes[name]
+        words = max(1, min(mixture.BLOCK, size // mixture.LEAST_BLOCKS))
+        blocks = [max(0, min(size, (b + 1) * words) - b * words) for n, _, b in plan if n == no]
+        assert sum(blocks) == taken, name
