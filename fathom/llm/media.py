@@ -1,10 +1,12 @@
 """Media columns: what binary values really are, by signature sniffing.
 
 An Aho-Corasick automaton finds all magic bytes in one pass; a validator for each format then walks the structure from there and says
-where the object ends.  The object at offset 0 decides the type of a value; valid objects further in are carved out.
+where the object ends.  The object at offset 0 decides the type of a value; valid objects further in are carved out.  A sound file's
+samples are looked into in the same way when they are read back, so that media inside them comes to light too.
 
 Defined results: null or empty values have type null and nothing carved; a value whose start no validator confirms keeps a type of null;
-of objects that lie inside an accepted one only the outer is reported.  Columns of any name pass through.
+of objects that lie inside an accepted one only the outer is reported.  Values of any length are read whole, repeated rows get equal
+values, an empty table gives an empty one.  Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,9 +107,8 @@ def _bmp(b: bytes, at: int) -> int:
 def _pdf(b: bytes, at: int) -> int:
     if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return 0
-    ref, end = b.find(b"startxref", at), -1
-    if ref >= 0:
-        end = b.find(b"%%EOF", ref)
+    ref = b.find(b"startxref", at)
+    end = b.find(b"%%EOF", ref) if ref >= 0 else -1
     return end + 5 - at if end >= 0 else 0
 
 
@@ -146,6 +148,9 @@ def _ogg(b: bytes, at: int) -> int:
     return 0
 
 
+#: What a validator searches for up to the end of the value: where that is missing, it is not asked again.
+ENDS = {"pdf": (b"startxref", b"%%EOF"), "zip": (b"PK\x05\x06",)}
+
 # Format name, magic bytes, validator.
 FORMATS: list[tuple[str, bytes, Callable[[bytes, int], int]]] = [
     ("png", b"\x89PNG\r\n\x1a\n", _png),
@@ -174,9 +179,15 @@ def automaton():
 def objects(b: bytes, a) -> list[tuple[str, int, int]]:
     """(format, offset, length) of the valid outermost objects, by offset."""
     out, covered = [], 0
+    ends = {name: -2 for name in ENDS}
     for last, k in a.iter(b.decode("latin-1")):
         name, magic, valid = FORMATS[k]
         at = last + 1 - len(magic)
+        if name in ends:
+            if ends[name] == -2:
+                ends[name] = min(b.rfind(x) for x in ENDS[name])
+            if ends[name] < at:
+                continue
         if at >= covered and (n := valid(b, at)):
             out.append((name, at, n))
             covered = at + n
@@ -252,29 +263,51 @@ def store_text(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
 
 def read_back(df: DataFrame, stored: str) -> tuple[DataFrame, str]:
-    """``df`` with features of the samples read from stored sound files; also the column's name."""
+    """``df`` with digests and features of the samples read from stored sound files; also the column's name.
+
+    ``low``, ``high``, ``total`` and ``crossings`` (of the middle, 128) describe the samples, ``embedded`` the objects among them.
+    """
 
     def make():
+        a = automaton()
+
         def step(values: pa.Array) -> list:
             rows = []
             for v in values:
                 b = v.as_py()
                 payload = from_wav(b)
-                rows.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(b), "media_sha256": hashlib.sha256(b).hexdigest()})
+                x = np.frombuffer(payload, np.uint8)
+                up = x >= 128
+                inside = [{"type": k, "offset": at, "length": n} for k, at, n in objects(payload, a)]
+                shape = {"low": int(x.min()), "high": int(x.max()), "total": int(x.sum(dtype=np.int64)), "crossings": int(np.count_nonzero(up[1:] != up[:-1])), "embedded": inside} if len(x) else {"embedded": inside}
+                rows.append(shape | {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(b), "media_sha256": hashlib.sha256(b).hexdigest()})
             return [rows]
 
         return step
 
-    out, (name,) = append(df, [stored], make, [("samples", "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string>")])
+    out, (name,) = append(df, [stored], make, [("samples", "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,low:int,high:int,total:bigint,crossings:bigint,embedded:array<struct<type:string,offset:bigint,length:bigint>>>")])
     return out, name
 
 
 def media_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: its text stored as sound, read back, sniffed under a wrong declared type, and described."""
+    """One row a document: its text stored as sound, read back, sniffed under the type of the text that it was, and described.
+
+    ``feature``: type found; whether that corrects the declared one; number, width and rate of the samples; their lowest, highest, sum
+    and crossings of the middle; objects embedded in them as type@offset+length.
+    """
     stored, f = store_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
     files = stored.select("doc_id", F.col(f)["n_bytes"].alias("n_bytes"), F.col(f)["stored"].alias("stored"), F.lit("text").alias("declared"))
     read, s = read_back(files, "stored")
     seen, m = sniff(read, "stored", "declared")
-    carved = F.array_join(F.transform(F.col(m)["carved"], lambda c: F.concat_ws("@", c["type"], c["offset"].cast("string"))), "+")
-    feature = F.concat_ws(";", F.coalesce(F.col(m)["type"], F.lit("unknown")), F.when(F.col(m)["corrected"], "corrected").otherwise("declared"), F.concat(F.col(s)["payload_bytes"].cast("string"), F.lit(f"x8@{RATE}")), carved)
-    return seen.select("doc_id", "n_bytes", F.col(f"{s}.*"), feature.alias("feature"))
+    place = lambda c: F.concat_ws("@", c["type"], F.concat_ws("+", c["offset"].cast("string"), c["length"].cast("string")))
+    numbers = F.concat_ws(",", *[F.col(s)[x].cast("string") for x in ("low", "high", "total", "crossings")])
+    feature = F.concat_ws(
+        ";",
+        F.coalesce(F.col(m)["type"], F.lit("unknown")),
+        F.when(F.col(m)["corrected"], "corrected").otherwise("declared"),
+        F.concat(F.col(s)["payload_bytes"].cast("string"), F.lit(f"x8@{RATE}")),
+        numbers,
+        F.array_join(F.transform(F.concat(F.col(s)["embedded"], F.transform(F.col(m)["carved"], lambda c: F.struct(c["type"], c["offset"], c["length"]))), place), "+"),
+    )
+    digests = [F.col(s)[x].alias(x) for x in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")]
+    return seen.select("doc_id", "n_bytes", *digests, feature.alias("feature"))

@@ -61,6 +61,35 @@ def test_digest(docs, corpus, none):
     assert len({(r.media_sha256, r.feature) for r in rows if texts[r.doc_id] in (None, "")}) == 1
 
 
+def test_media_inside_stored_texts(spark):
+    """Features come from the samples; what a text embeds is found in the sound file and carved at its place."""
+    pdf = PDF.decode()
+    rows = [(1, "see " + pdf + " and GIF89a"), (2, "%PDF-1.4 " * 50_000), (3, "RIFF OggS BM PK\x03\x04 %PDF-1.4 startxref"), (4, "x\x00" + pdf + "é" + pdf), (5, None), (5, None), (6, "y" * 1_000_000)]
+    got = {r.doc_id: r.feature for r in media.media_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(PDF)
+    for doc, text in rows:
+        payload = media.padded(text)[1]
+        up = [v >= 128 for v in payload]
+        crossings = sum(a != b for a, b in zip(up, up[1:], strict=False))
+        inside = {1: f"pdf@4+{n}", 4: f"pdf@2+{n}+pdf@{4 + n}+{n}"}.get(doc, "")
+        assert got[doc] == f"wav;corrected;{len(payload)}x8@{media.RATE};{min(payload)},{max(payload)},{sum(payload)},{crossings};{inside}"
+    a = media.automaton()
+    b = media.to_wav(media.padded(rows[0][1])[1])
+    assert media.objects(b, a) == [("wav", 0, len(b))] and media.objects(media.from_wav(b), a) == [("pdf", 4, n)]
+
+
+def test_mended_declarations_of_stored_media(spark):
+    """A table of files under wrong names, each with another one behind it."""
+    kinds = list(samples().items())
+    rows = [(i, bytearray(b + kinds[i - 1][1]), kinds[i - 2][0]) for i, (_, b) in enumerate(kinds)]
+    out, name = media.sniff(spark.createDataFrame(rows, "id int, media binary, declared string"), "media", "declared")
+    for r in out.collect():
+        kind, b = kinds[r.id]
+        behind = kinds[r.id - 1]
+        assert r[name].type == kind and r[name].corrected
+        assert [(c.type, c.offset, c.length) for c in r[name].carved] == [(behind[0], len(b), len(behind[1]))], kind
+
+
 def test_extra_columns_pass(docs):
     out, name = media.store_text(docs)
     assert out.columns[:-1] == docs.columns and out.where(F.col(name)["stored"].isNull()).count() == 0
