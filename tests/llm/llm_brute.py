@@ -1,6 +1,7 @@
 """Plain versions of the operators for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -105,3 +106,47 @@ def targets(sizes, weights=(3, 1, 2), share=1.5):
                 got[s] = 2.0 * sizes[s]
                 open_.discard(s)
     return got
+
+
+def tree(pages, gamma, least, threshold):
+    """{host: nodes to remove} from [(host, shapes, blocks)]; shapes as (node, children), blocks as (leaf, text)."""
+    out = {}
+    for host in {h for h, _, _ in pages}:
+        mine = [(s, b) for h, s, b in pages if h == host]
+        on = {}
+        for i, (shapes, blocks) in enumerate(mine):
+            for n, *_ in [*shapes, *blocks]:
+                on.setdefault(n, set()).add(i)
+        score, most = {}, {}
+
+        def entropy(counts, m):
+            total = sum(counts)
+            return min(1.0, -sum(c / total * math.log(c / total) for c in counts) / math.log(m)) if m > 1 else 1.0
+
+        def visit(node):
+            if node in score:
+                return
+            m = len(on[node])
+            texts, kinds, parts = {}, {}, []
+            for shapes, blocks in mine:
+                for t in {t for n, t in blocks if n == node}:
+                    texts[t] = texts.get(t, 0) + 1
+                for k in {k for n, k in shapes if n == node}:
+                    kinds[k] = kinds.get(k, 0) + 1
+                parts += [k for n, k in shapes if n == node]
+            if texts:
+                score[node] = most[node] = max(0.0, 1 - sum(math.log(c) / math.log(m) for c in texts.values()) / len(texts)) if m > 1 else 1.0
+                return
+            weight = {}
+            for kids in parts:
+                for k in kids:
+                    visit(k)
+                    weight[k] = weight.get(k, 0) + 1 / len(kids)
+            keep = gamma ** len(kinds)
+            score[node] = (1 - keep) * entropy(list(kinds.values()), m) + keep * sum(w * score[k] for k, w in weight.items()) / sum(weight.values())
+            most[node] = max(score[node], *[most[k] for k in weight])
+
+        for n in on:
+            visit(n)
+        out[host] = {n for n in on if n and len(on[n]) >= least and most[n] < threshold * score[0]} if on else set()
+    return out
