@@ -38,8 +38,8 @@ END = 2
 MAGIC = b"FWM1"
 NULL_ID = -(1 << 63)
 STEP = 512
-#: Chunks and words that a worker remembers, some 150 bytes each.
-CHUNKS, PIECES = 450_000, 600_000
+#: Chunks and words that a worker remembers, some 150 bytes each: more of them save no time worth having.
+CHUNKS, PIECES = 100_000, 150_000
 
 # How byte-level vocabularies write the bytes that have no printable character.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
