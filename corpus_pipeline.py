@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import decontaminate, jaccard, language, mixture, tokens
-from fathom.plans.staging import Workspace
+from fathom.plans.staging import Workspace, scope
 
 #: Five words and 0.8.
 NEAR = jaccard.Link(words=5, up=4, down=9)
@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = space.put(name, stage(spark, docs, sf_dir))
+        with scope():
+            docs = space.put(name, stage(spark, docs, sf_dir))
     return docs

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 IEC = ["", "Ki", "Mi", "Gi", "Ti", "Pi", "Ei", "Zi", "Yi"]
 # Exponent of ten and unit prefix, largest first.
-SI = [(24, "Y"), (21, "Z"), (18, "E"), (15, "P"), (12, "T"), (9, "G"), (6, "M"), (3, "k"), (0, ""), (-2, "c"), (-3, "m"), (-6, "u"), (-9, "n"), (-12, "p"), (-15, "f")]
+SI = [(24, "Y"), (21, "Z"), (18, "E"), (15, "P"), (12, "T"), (9, "G"), (6, "M"), (3, "K"), (0, ""), (-2, "c"), (-3, "m"), (-6, "u"), (-9, "n"), (-12, "p"), (-15, "f")]
 # Suffixes of the unit wrappers.
 UNITS = {"flops": "flop/s", "tflop": "s/flop", "bandwidth": "B/s", "tbyte": "s/B", "accesses": "acc/s", "flops_per_joule": "flop/J", "joules_per_flop": "J/flop", "joules_per_byte": "J/B", "bytes_per_joule": "B/J", "watts": "W"}
 
@@ -35,31 +35,23 @@ def sigfig_label(c: Column, k: int) -> Column:
     return F.when(x.isNull(), F.lit("NA")).when(x == 0, F.lit("0." + "0" * (k - 1))).otherwise(label)
 
 
-def iec(c: Column, suffix: str = "") -> Column:
-    """Binary units: 1536 becomes 1.5 Ki."""
-    x = c.cast("double")
-    out = F.format_string("%.4g " + IEC[-1] + suffix, x / 1024.0 ** (len(IEC) - 1))
-    for i in range(len(IEC) - 2, -1, -1):
-        out = F.when(F.abs(x) < 1024.0 ** (i + 1), F.concat((F.round(x / 1024.0**i, 2)).cast("string"), F.lit(f" {IEC[i]}{suffix}"))).otherwise(out)
+def _scaled(x: Column, steps: list[tuple[float, str]], suffix: str, places: int) -> Column:
+    """``x`` over the first step that it reaches and the step's name; unscaled below all of them, and so are negative numbers."""
+    number = lambda v: F.bround(v, 0).cast("decimal(38,0)").cast("string") if not places else F.bround(v, places).cast("string")
+    out = F.concat(number(x), F.lit(f" {suffix}"))
+    for at, name in reversed(steps):
+        out = F.when(x >= at, F.concat(number(x / at), F.lit(f" {name}{suffix}"))).otherwise(out)
     return out
 
 
-def si_prefix(c: Column) -> Column:
-    x = F.abs(c.cast("double"))
-    out = F.lit(SI[-1][1])
-    for e, name in reversed(SI):
-        out = F.when(x >= 10.0**e, F.lit(name)).otherwise(out)
-    return F.when(x == 0, F.lit("")).otherwise(out)
+def iec(c: Column, suffix: str = "", places: int = 0) -> Column:
+    """Binary units, rounded half to even: 1536 becomes ``2 Ki``."""
+    return _scaled(c.cast("double"), [(1024.0**i, IEC[i]) for i in range(len(IEC) - 1, 0, -1)], suffix, places)
 
 
-def si(c: Column, suffix: str = "") -> Column:
-    """Decimal units, two decimals at most: 1500 becomes 1.5 k."""
-    x = c.cast("double")
-    scaled = F.round(x / 10.0 ** SI[-1][0], 2)
-    for e, _ in reversed(SI):
-        scaled = F.when(F.abs(x) >= 10.0**e, F.round(x / 10.0**e, 2)).otherwise(scaled)
-    scaled = F.when(x == 0, F.lit(0.0)).otherwise(scaled)
-    return F.concat(scaled.cast("string"), F.lit(" "), si_prefix(c), F.lit(suffix))
+def si(c: Column, suffix: str = "", places: int = 0) -> Column:
+    """Decimal units, rounded half to even: 1499 becomes ``1 K``."""
+    return _scaled(c.cast("double"), [(float(f"1e{e}"), name) for e, name in SI], suffix, places)
 
 
 def si_unit(c: Column, kind: str) -> Column:
@@ -100,4 +92,4 @@ def labels_log2(values: list[float], plain: int = 8) -> list[str]:
 
 
 def reverse_log(c: Column, base: float = math.e) -> Column:
-    return -F.log(base, c.cast("double"))
+    return -F.log(float(base), c.cast("double"))

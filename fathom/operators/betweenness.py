@@ -21,7 +21,7 @@ def sigma_levels(graph: Graph, root: int | None = None) -> list[tuple[DataFrame,
     root = graph.root() if root is None else root
     if root is None:
         return []
-    spark, edges = graph.edges.sparkSession, graph.edges.persist()
+    spark, edges = graph.edges.sparkSession, graph.edges if graph.stored else graph.edges.persist()
     try:
         now, n = counted(spark.range(root, root + 1).withColumn("sigma", F.lit(1).cast("long")))
         out = []
@@ -33,7 +33,8 @@ def sigma_levels(graph: Graph, root: int | None = None) -> list[tuple[DataFrame,
             now, n = counted(reach)
         return out
     finally:
-        edges.unpersist()
+        if not graph.stored:
+            edges.unpersist()
 
 
 def sigma(graph: Graph, root: int | None = None) -> DataFrame:
@@ -47,7 +48,7 @@ def betweenness(graph: Graph, root: int | None = None) -> DataFrame:
     parts = sigma_levels(graph, root)
     if not parts:
         return _empty(graph)
-    edges = graph.edges.persist()
+    edges = graph.edges if graph.stored else graph.edges.persist()
     deep, out = None, []
     try:
         for d in range(len(parts) - 1, -1, -1):
@@ -61,7 +62,8 @@ def betweenness(graph: Graph, root: int | None = None) -> DataFrame:
             deep = checkpoint(done)
             out.append(deep.select("id", F.lit(d).cast("long").alias("level"), "sigma", "delta", F.col("delta").alias("total") if d else F.lit(0.0).alias("total")))
     finally:
-        edges.unpersist()
+        if not graph.stored:
+            edges.unpersist()
     return reduce(DataFrame.unionByName, out)
 
 

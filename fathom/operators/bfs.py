@@ -33,19 +33,22 @@ def pull(edges: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
     return edges.join(small(frontier.withColumnRenamed("id", "dst"), n), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
 
 
-def frontiers(graph: Graph, root: int | None = None, direction: str = "auto", max_rounds: int = 100_000) -> list[tuple[DataFrame, int]]:
-    """One (frame of ids, row count) per level.  ``auto`` pulls once a frontier holds over a tenth of all vertices."""
+def frontiers(graph: Graph, root: int | None = None, direction: str = "auto", max_rounds: int = 1_000_000) -> list[tuple[DataFrame, int]]:
+    """One (frame of ids, row count) per level.  ``auto`` pulls once a frontier holds over a tenth of all vertices.  Raises after
+    ``max_rounds`` rounds rather than return a part."""
     if direction not in ("push", "pull", "auto"):
         raise ValueError(f"unknown direction {direction!r}")
     root = graph.root() if root is None else root
     if root is None:
         return []
-    spark, edges = graph.edges.sparkSession, graph.edges.persist()
+    spark, edges = graph.edges.sparkSession, graph.edges if graph.stored else graph.edges.persist()
     try:
         total = graph.vertices.count() if direction == "auto" else 0
         now, n = counted(spark.range(root, root + 1))
         levels, before = [(now, n)], None
-        while n and len(levels) < max_rounds:
+        while n:
+            if len(levels) > max_rounds:
+                raise RuntimeError(f"the search has not ended after {max_rounds} rounds")
             step = pull if direction == "pull" or (direction == "auto" and 10 * n > total) else push
             fresh = step(edges, now, n).join(small(now, n), "id", "left_anti")
             if before is not None:
@@ -55,7 +58,8 @@ def frontiers(graph: Graph, root: int | None = None, direction: str = "auto", ma
             levels.append((now, n))
         return [x for x in levels if x[1]]
     finally:
-        edges.unpersist()
+        if not graph.stored:
+            edges.unpersist()
 
 
 def levels(graph: Graph, root: int | None = None, direction: str = "auto") -> DataFrame:

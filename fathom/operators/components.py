@@ -51,7 +51,7 @@ def component_labels(graph: Graph) -> DataFrame:
 
 def label_rounds(graph: Graph, jump: bool = True, max_rounds: int = 100_000) -> DataFrame:
     """The same labels by iterated neighbour minimum, with pointer jumping unless ``jump`` is false."""
-    labels, edges = checkpoint(graph.vertices.withColumn("component", F.col("id"))), graph.edges.persist()
+    labels, edges = checkpoint(graph.vertices.withColumn("component", F.col("id"))), graph.edges if graph.stored else graph.edges.persist()
     seen = None
     try:
         for _ in range(max_rounds):
@@ -65,7 +65,8 @@ def label_rounds(graph: Graph, jump: bool = True, max_rounds: int = 100_000) ->
                 return labels
             seen = now
     finally:
-        edges.unpersist()
+        if not graph.stored:
+            edges.unpersist()
     raise RuntimeError("components did not settle")
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.plans.staging import checkpoint
+
 #: Frames of at most this many two-column rows (some 16 MB) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -20,12 +22,17 @@ class Graph:
 
     edges: DataFrame
     isolated: DataFrame | None = None
+    stored: bool = False
 
     @staticmethod
     def from_pairs(pairs: DataFrame, src: str = "src", dst: str = "dst", vertices: DataFrame | None = None) -> Graph:
         p = pairs.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).where("src <> dst")
         return Graph(p.unionByName(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), vertices)
 
+    def store(self) -> Graph:
+        """The same graph with its edges written once to the shared folder: for searches, which read them every round."""
+        return self if self.stored else Graph(checkpoint(self.edges), self.isolated, True)
+
     @property
     def vertices(self) -> DataFrame:
         ids = self.edges.select(F.col("src").alias("id"))

@@ -117,6 +117,18 @@ def fit(df: DataFrame, keys: Sequence[str], response: str, predictors: Sequence[
     return out
 
 
+def residuals(predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, bias, rmse, worst) of predictions against the truth."""
+    gap = F.col("predicted") - F.col("true")
+    return predicted.groupBy(*keys).agg(F.count(gap).alias("n"), F.avg(gap).alias("bias"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.max(F.abs(gap)).alias("worst"))
+
+
+def per_unit(predicted: DataFrame, unit: str) -> DataFrame:
+    """Contributions, prediction and truth over a column of the same row: the stack of costs for each instruction or edge."""
+    parts = [c for c in predicted.columns if c.startswith("c_")] + ["predicted", "true"]
+    return predicted.withColumns({c: F.try_divide(F.col(c), F.col(unit)) for c in parts})
+
+
 def predict(df: DataFrame, model: Fit, coefs: DataFrame | None = None) -> DataFrame:
     """Contribution columns ``c_<term>``, their sum ``predicted``, and the response as ``true``.
 

@@ -52,6 +52,11 @@ def normalise_join(df: DataFrame, norm: DataFrame, keys: Cols, values: Cols) ->
     return df.join(n, list(keys)).withColumns({c: F.try_divide(F.col(c), F.col(f"_n_{c}")) for c in values}).drop(*[f"_n_{c}" for c in values])
 
 
+def join_suffixed(df: DataFrame, other: DataFrame, keys: Cols, suffix: str) -> DataFrame:
+    """Inner join on the keys; the other frame's values get the suffix."""
+    return df.join(other.select(*keys, *[F.col(c).alias(c + suffix) for c in other.columns if c not in keys]), list(keys))
+
+
 def speedup(df: DataFrame, keys: Cols, value: str, base: Column, name: str = "speedup") -> DataFrame:
     """Baseline over own; iteration totals are no key, so implementations with other round counts stay."""
     return df.withColumn("_b", baseline(df, keys, value, base)).where("_b is not null").withColumn(name, F.try_divide(F.col("_b"), F.col(value))).drop("_b")
@@ -152,9 +157,10 @@ def first_columns(df: DataFrame, names: Cols) -> DataFrame:
 
 
 def level_changes(df: DataFrame, order: str, value: str, keys: Cols = ()) -> DataFrame:
-    """Rows where the value differs from the row before."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_p", F.lag(value).over(w)).withColumn("changed", F.coalesce(F.col("_p") != F.col(value), F.lit(True))).drop("_p")
+    """``changed`` marks the rows at which the value differs from the row before, when rows stand by value and then by ``order``: the
+    first of each value of a group.  So it is a minimum by value, which no single task has to sort."""
+    first = df.groupBy(*keys, value).agg(F.min(order).alias("_f"))
+    return df.join(first, [*keys, value]).withColumn("changed", F.col(order) == F.col("_f")).select(*df.columns, "changed")
 
 
 def least_of(*cols: str) -> Column:
@@ -176,16 +182,44 @@ def max_finite(c: str) -> Column:
     return F.max(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)))
 
 
-def choose_by_time(times: Sequence[tuple[float, float]], swap_at: int = 5, gradient: float = 0.05, steady: float = 0.01) -> list[int]:
-    """Which of two variants each iteration takes, from their previous times: 0 first, 1 second; then 1 once the first stops improving
-    by ``gradient`` or at ``swap_at``; back to 0 when the second moves by more than ``steady``.  Has no influence on any answer."""
-    out: list[int] = []
-    for k in range(len(times)):
-        if k < 2:
-            out.append(k)
-            continue
-        a, b = times[k - 2][out[-1]], times[k - 1][out[-1]]
-        change = abs(a - b) / a if a else 0.0
-        last = out[-1]
-        out.append(1 if last == 0 and (change < gradient or k >= swap_at) else 0 if last == 1 and change > steady and k < swap_at else last)
+def chosen(df: DataFrame, keys: Cols, order: str, based: str, avoiding: str, gradient: float = 0.05, steady: float = 0.01, stuck: int = 5) -> DataFrame:
+    """(keys, order, choice, time): ``choose_by_time`` for every group, as one fold over its rounds (a search has few of them)."""
+    kind = "array<struct<at:bigint,choice:int,time:double>>"
+    rounds = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.array(F.col(based).cast("double"), F.col(avoiding).cast("double")).alias("t"))))
+    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).cast("double").alias("before"), F.lit(0.0).cast("double").alias("now"), F.lit(0).alias("since"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        last = F.when(s["k"] == 0, F.lit(0)).otherwise(F.element_at(s["out"], -1)["choice"])
+        since = s["since"] + 1
+        swap = (s["now"] - s["before"] > gradient * s["now"]) | ((F.abs(s["now"] - s["before"]) > steady * s["now"]) & (since == 1))
+        later = F.when(swap, F.struct(F.lit(1).alias("choice"), F.lit(0).alias("since"))).otherwise(F.struct(F.when(since == stuck, 1 - last).otherwise(last).alias("choice"), F.when(since == stuck, F.lit(0)).otherwise(since).alias("since")))
+        pick = F.when(s["k"] == 0, F.struct(F.lit(1).alias("choice"), F.lit(0).alias("since"))).when(s["k"] == 1, F.struct(F.lit(0).alias("choice"), F.lit(0).alias("since"))).otherwise(later)
+        time = F.get(r["t"], pick["choice"])
+        row = F.struct(r["at"].alias("at"), pick["choice"].alias("choice"), time.alias("time"))
+        return F.struct((s["k"] + 1).alias("k"), s["now"].alias("before"), time.alias("now"), pick["since"].alias("since"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    out = df.groupBy(*keys).agg(F.aggregate(rounds, start, step, lambda s: s["out"]).alias("r"))
+    return out.select(*keys, F.explode("r").alias("r")).select(*keys, F.col("r.at").alias(order), F.col("r.choice").alias("choice"), F.col("r.time").alias("time"))
+
+
+def choose_by_time(times: Sequence[tuple[float, float]], gradient: float = 0.05, steady: float = 0.01, stuck: int = 5) -> list[int]:
+    """Which of two variants each iteration takes, 0 with branches or 1 without, given what either would take in it.
+
+    The first iteration is 1, the second 0.  From then on 1 is taken when the last iteration took over ``gradient`` of its own time more
+    than the one before, or moved by over ``steady`` right after a swap; ``stuck`` iterations without either swap variants.  Has no
+    influence on any answer.
+    """
+    out = [1, 0][: len(times)]
+    if len(times) < 3:
+        return out
+    before, now, since = times[0][1], times[1][0], 0
+    for both in times[2:]:
+        since += 1
+        choice = out[-1]
+        if now - before > gradient * now or (abs(now - before) > steady * now and since == 1):
+            choice, since = 1, 0
+        if since == stuck:
+            choice, since = 1 - choice, 0
+        out.append(choice)
+        before, now = now, both[choice]
     return out

@@ -36,7 +36,7 @@ def scatter(trace: DataFrame, n: int, dialect: str, branch: int) -> DataFrame:
     var = {"c": F.lit(n), "java": one, "python": F.lit(n // 2)}[dialect]
     geq = {"c": F.when(i <= b, c).otherwise(zero), "java": c, "python": c}[dialect]
     eq = {"c": F.when(i == b, c).otherwise(zero), "java": F.when(c >= 1, one).otherwise(zero), "python": F.when(i == 0, c).otherwise(zero)}[dialect]
-    three = {"c": 2 * c, "java": c + 2, "python": F.when(i == 0, 3 * c).otherwise(c)}[dialect]
+    three = {"c": F.when(i <= b, 2 * c).otherwise(c), "java": c + 2, "python": F.when(i == 0, 3 * c).otherwise(c)}[dialect]
     taken = i > b if dialect == "python" else i >= b
     ops = {"MEM_ONLY": zero, "INC": c, "ADD_1M": 1_000_000 * c, "ADD_VAR": var * c, "COND_GEQ": geq, "COND_EQ": eq, "COND_3": three, "BRANCH": F.when(taken, b * c).otherwise(c)}
     counts = trace.groupBy("addr").agg(F.count("*").alias("c"))

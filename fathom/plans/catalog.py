@@ -47,10 +47,13 @@ def part_query(name: str, sql: str) -> Callable[[Callable[[Graph], DataFrame]],
     if G45_SQL not in sql:
         raise ValueError(f"{name}: no part graph in its SQL")
 
+    # searches go through the edges many times
+    read = Graph.store if name.startswith(("bfs_", "cc_", "bc_")) else lambda g: g
+
     def add(f: Callable[[Graph], DataFrame]) -> Query:
         if f"{name}_dense" not in WHOLE_ALREADY:
-            query(f"{name}_dense", None if name.startswith(NO_WHOLE_SQL) else sql.replace(G45_SQL, GALL_SQL))(lambda s, d: f(G(s, d, None)))
-        return query(name, sql)(lambda s, d: f(G(s, d)))
+            query(f"{name}_dense", None if name.startswith(NO_WHOLE_SQL) else sql.replace(G45_SQL, GALL_SQL))(lambda s, d: f(read(G(s, d, None))))
+        return query(name, sql)(lambda s, d: f(read(G(s, d))))
 
     return add
 
@@ -72,7 +75,7 @@ part_query("graph_unsort", w(G45_SQL) + "SELECT src AS id, string_agg(CAST(dst A
 
 for direction in ("push", "pull", "auto"):
     part_query(f"bfs_levels_{direction}", w(G45_SQL, BFS_SQL) + "SELECT id, level FROM bfs")(lambda g, how=direction: bfs.levels(g, direction=how))
-query("bfs_levels_dense", w(GALL_SQL, BFS_SQL.replace("< 63", "< 8")) + "SELECT id, level FROM bfs")(lambda s, d: bfs.levels(G(s, d, None)))
+query("bfs_levels_dense", w(GALL_SQL, BFS_SQL.replace("< 63", "< 8")) + "SELECT id, level FROM bfs")(lambda s, d: bfs.levels(G(s, d, None).store()))
 
 
 @part_query("bfs_level_stats", w(G45_SQL, BFS_SQL, DEG_SQL) + "SELECT level, count(*) AS vertices, CAST(sum(deg) AS BIGINT) AS edges FROM bfs JOIN d USING (id) GROUP BY 1")
@@ -97,9 +100,7 @@ def _(g):
 
 @part_query("bfs_level_changes", w(G45_SQL, BFS_SQL) + "SELECT id, level, coalesce(lag(level) OVER (ORDER BY level, id) <> level, true) AS changed FROM bfs")
 def _(g):
-    reached = bfs.levels(g)
-    first = reached.groupBy("level").agg(F.min("id").alias("first"))
-    return reached.join(first, "level").select("id", "level", (F.col("id") == F.col("first")).alias("changed"))
+    return rel.level_changes(bfs.levels(g), "id", "level")
 
 
 part_query("cc_labels", w(G45_SQL, CC_SQL) + "SELECT id, component FROM cc")(lambda g: components.component_labels(g))
@@ -140,7 +141,7 @@ TRACES = {
     "mix": f"t AS (SELECT addr FROM trace ORDER BY src, dst, step LIMIT {N})",
 }
 OPS = {  # c visits of cell i, n trace length, b branch value
-    "c": ("{n}", "CASE WHEN i <= {b} THEN c ELSE 0 END", "CASE WHEN i = {b} THEN c ELSE 0 END", "2 * c", ">="),
+    "c": ("{n}", "CASE WHEN i <= {b} THEN c ELSE 0 END", "CASE WHEN i = {b} THEN c ELSE 0 END", "CASE WHEN i <= {b} THEN 2 * c ELSE c END", ">="),
     "java": ("1", "c", "1", "c + 2", ">="),
     "python": ("{h}", "c", "CASE WHEN i = 0 THEN c ELSE 0 END", "CASE WHEN i = 0 THEN 3 * c ELSE c END", ">"),
 }
@@ -255,8 +256,11 @@ query("perf_iterations_report", w(PERF_SQL, CUM_SQL, TOT_SQL, SPEED_SQL) + f"SEL
 
 query("fmt_times", w(PERF_SQL, TOT_SQL) + f"SELECT {K}, printf('%.2fx', \"time\" / 1e6) AS label FROM tot")(lambda s, d: perf_totals(s, d).select(*PERF_KEYS, fmt.times_label(F.col("time") / 1e6).alias("label")))
 query("fmt_sigfig", w(PERF_SQL, TOT_SQL) + f"SELECT {K}, CASE WHEN branches = 0 THEN '0.00' ELSE printf('%.' || CAST(greatest(2 - CAST(floor(log10(branches)) AS INTEGER), 0) AS VARCHAR) || 'f', round(branches * pow(10, 2 - floor(log10(branches)))) / pow(10, 2 - floor(log10(branches)))) END AS label FROM tot".replace("printf('%.' || CAST(greatest(2 - CAST(floor(log10(branches)) AS INTEGER), 0) AS VARCHAR) || 'f', ", "printf(CASE WHEN branches >= 100 THEN '%.0f' WHEN branches >= 10 THEN '%.1f' ELSE '%.2f' END, "))(lambda s, d: perf_totals(s, d).select(*PERF_KEYS, fmt.sigfig_label(F.col("branches"), 3).alias("label")))
-query("fmt_si", w(PERF_SQL, TOT_SQL) + f"SELECT {K}, CASE WHEN \"time\" >= 1e9 THEN 'G' WHEN \"time\" >= 1e6 THEN 'M' WHEN \"time\" >= 1e3 THEN 'k' ELSE '' END AS prefix FROM tot")(lambda s, d: perf_totals(s, d).select(*PERF_KEYS, fmt.si_prefix(F.col("time")).alias("prefix")))
-query("fmt_iec", w(PERF_SQL, TOT_SQL) + f"SELECT {K}, CASE WHEN instructions < 1024 THEN 0 WHEN instructions < 1048576 THEN 1 WHEN instructions < 1073741824 THEN 2 ELSE 3 END AS power FROM tot")(lambda s, d: perf_totals(s, d).select(*PERF_KEYS, F.when(fmt.iec(F.col("instructions")).endswith(" Ki"), 1).when(fmt.iec(F.col("instructions")).endswith(" Mi"), 2).when(fmt.iec(F.col("instructions")).endswith(" Gi"), 3).otherwise(0).alias("power")))
+UNITS_IN = lambda x, steps: "CASE " + " ".join(f"WHEN {x} >= {at} THEN CAST(CAST(round_even({x} / {at}, 0) AS BIGINT) AS VARCHAR) || ' {name}'" for at, name in steps) + f" ELSE CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR) || ' ' END"
+SI_SQL = UNITS_IN('CAST("time" * f AS DOUBLE)', [("1e9", "G"), ("1e6", "M"), ("1e3", "K"), ("1e0", ""), ("1e-2", "c"), ("1e-3", "m"), ("1e-6", "u"), ("1e-9", "n"), ("1e-12", "p")])
+query("fmt_si", w(PERF_SQL, TOT_SQL) + f"SELECT {K}, f, {SI_SQL} || 's' AS label FROM tot, (VALUES (1e0), (1e-5), (1e-9), (1e-11), (1e-14), (-1e0)) x(f)")(lambda s, d: perf_totals(s, d).withColumn("f", F.explode(F.array(*[F.lit(x) for x in (1e0, 1e-5, 1e-9, 1e-11, 1e-14, -1e0)]))).select(*PERF_KEYS, "f", fmt.si(F.col("time") * F.col("f"), "s").alias("label")))
+IEC_SQL = UNITS_IN("(instructions * CAST(f AS DOUBLE))", [("1073741824", "Gi"), ("1048576", "Mi"), ("1024", "Ki")])
+query("fmt_iec", w(PERF_SQL, TOT_SQL) + f"SELECT {K}, f, {IEC_SQL} || 'B' AS label FROM tot, (VALUES (1), (300), (-1)) x(f)")(lambda s, d: perf_totals(s, d).withColumn("f", F.explode(F.array(F.lit(1), F.lit(300), F.lit(-1)))).select(*PERF_KEYS, "f", fmt.iec(F.col("instructions") * F.col("f"), "B").alias("label")))
 query("key_encode_decode", w(PERF_SQL) + f"SELECT DISTINCT 'x--' || algorithm || '--' || implementation || '--' || graph AS model_key, 'x' AS architecture, {K} FROM perf")(lambda s, d: P(s, d).select(keys.encode(F.lit("x"), *[F.col(k) for k in PERF_KEYS]).alias("model_key")).distinct().select("model_key", *keys.decode(F.col("model_key"))))
 
 # --- models --------------------------------------------------------------------------------------------------------------------

@@ -1,20 +1,29 @@
 """Cutting lineage through storage that driver and executors share.
 
-``spark.checkpoint.dir`` names the shared folder.  Only where the session has none (tests, a laptop) is
-``/tmp/checkpoints`` taken.  ``localCheckpoint`` is never used: its blocks die with their executor.
+``spark.checkpoint.dir`` names the shared folder.  Where the session has none, a session that runs in one process (tests, a laptop) uses
+``/tmp/checkpoints``; on a cluster that is an error, because executors would write where others cannot read.  ``localCheckpoint`` is
+never used: its blocks die with their executor.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK = "/tmp/checkpoints"
+ONE_PROCESS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return ONE_PROCESS
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -26,10 +35,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 class Workspace:
-    """A folder of Parquet tables under the shared folder, for intermediate results that are read more than once."""
+    """A folder of Parquet tables under the shared folder, for intermediate results that are read more than once.
+
+    Results may be read from it until ``drop``, or until the end of the ``scope`` that it was made in, or of the process.
+    """
+
+    _open: list[Workspace] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/fathom-{uuid.uuid4().hex}"
+        self._open.append(self)
 
     def put(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(f"{self.root}/{name}")
@@ -43,3 +58,22 @@ class Workspace:
         """Remove a table, or all of them; nothing may read it any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Workspaces made inside are dropped at the end: what they hold has to be read, or written elsewhere, by then."""
+    outer, Workspace._open = Workspace._open, []
+    try:
+        yield
+    finally:
+        for space in Workspace._open:
+            space.drop()
+        Workspace._open = outer
+
+
+@atexit.register
+def _drop_all() -> None:
+    for space in Workspace._open:
+        with contextlib.suppress(Exception):  # the session's process may be gone already
+            space.drop()

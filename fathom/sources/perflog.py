@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -25,12 +25,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_log(spark: SparkSession, path: str, architecture: str | None = None, graph: str | None = None, missing: str = "error") -> DataFrame | None:
+def read_log(spark: SparkSession, path: str, architecture: str | None = None, graph: str | None = None, missing: str = "error", seconds: bool = True) -> DataFrame | None:
     """One log in canonical form: keys first, then doubles; Time in seconds.
 
     The first line decides the dialect: a header starts with ``Algorithm``; without one the number of fields names the columns.  Commas
     or tabs separate.  The misspelt iteration header is mended.  A log that has ``Cycles`` keeps nanoseconds, all others seconds.
-    ``missing='skip'`` gives None for an absent or empty file.
+    ``missing='skip'`` gives None for an absent or empty file; without ``seconds`` times stay as written.
     """
     try:
         first = spark.read.text(path).first() if exists(spark, path) else None
@@ -52,7 +52,7 @@ def read_log(spark: SparkSession, path: str, architecture: str | None = None, gr
     if "Implementation" not in names:  # algorithm and variant share one field
         parts = F.split("Algorithm", r"\s+", 2)
         df = df.withColumn("Implementation", F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).withColumn("Algorithm", F.get(parts, F.lit(0)))
-    if "Cycles" in names:
+    if seconds and "Cycles" in names:
         df = df.withColumn("Time", F.col("Time") * 1e-9)
     df = df.withColumns({"Graph": F.lit(graph), "Architecture": F.lit(architecture), "Iteration": F.col("Iteration").cast("long")})
     return df.select(*KEYS, *[c for c in df.columns if c not in KEYS])
@@ -91,6 +91,42 @@ def read_logs(spark: SparkSession, root: str, architectures: Sequence[str], algo
     return union_common(found) if common else union_fill(found, fill)
 
 
+# Short names of the older reports, and the columns that those of plain and of extended logs have.
+SHORT = {"Algorithm": "Comp", "Implementation": "Alg", "Iteration": "Iters", "Instructions": "Insts", "Loads_Retired": "Loads", "Loads_Dispatched": "Loads", "Stores_Retired": "Stores", "Stores_Dispatched": "Stores", "Branches": "Brs", "Mispredictions": "Mispreds", "Vertices": "Vs", "Edges": "Es"}
+PLAIN = ["Comp", "Alg", "Iters", "Time", "Mispreds", "Brs", "Insts", "Vs", "Es"]
+EXTENDED = ["Comp", "Alg", "Iters", "Time", "Cycles", "Insts", "Loads", "Stores", "Brs", "Mispreds", "Vs", "Es"]
+
+
+def read_short(spark: SparkSession, path: str, extended: bool = True) -> DataFrame:
+    """A log under its short names: the extended columns if it has a header with counters and ``extended`` is set, the plain ones otherwise.
+
+    Where a machine has counters of both kinds, retired loads and stores are meant.  Raises when an extended log lacks a column.
+    """
+    df = read_log(spark, path, seconds=False)
+    taken: dict[str, str] = {}
+    for c in sorted(df.columns, key=lambda c: c.endswith("_Dispatched")):
+        if SHORT.get(c, c) not in taken.values():
+            taken[c] = SHORT.get(c, c)
+    named = df.select(*[F.col(c).alias(n) for c, n in taken.items()])
+    wanted = EXTENDED if extended and "Cycles" in df.columns else PLAIN
+    if lost := [c for c in wanted if c not in named.columns]:
+        raise ValueError(f"{path}: no column {', '.join(lost)}")
+    return named.select(*wanted)
+
+
+def read_shorts(spark: SparkSession, root: str, architectures: Sequence[str], algorithms: Sequence[str], graphs: Sequence[str]) -> DataFrame:
+    """All of ``root/<arch>-<alg>/<graph>.log`` under short names with Arch and Graph; extended columns only if every architecture has them."""
+    paths = [(a, g, f"{root}/{a}-{k}/{g}.log") for a in architectures for k in algorithms for g in graphs]
+    extended = all("Cycles" in (spark.read.text(p).first() or [""])[0] for _, _, p in paths)
+    tagged = [read_short(spark, p, extended).withColumns({"Arch": F.lit(a), "Graph": F.lit(g)}) for a, g, p in paths]
+    return union_same(tagged)
+
+
+def union_tagged(frames: Mapping[str, DataFrame], tag: str) -> DataFrame:
+    """Rows of all frames with the name of theirs; headers have to be the same."""
+    return union_same([f.withColumn(tag, F.lit(k)) for k, f in frames.items()])
+
+
 def header_columns(counters: dict[str, bool], before: Sequence[str], after: Sequence[str]) -> list[str]:
     """Column list of a log: the supported counters between the fixed columns."""
     return [*before, *[k for k, ok in counters.items() if ok], *after]

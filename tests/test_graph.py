@@ -148,11 +148,29 @@ def test_differences(spark):
     assert bc.differences(a, a.where("id = 1"), ["level"], ["delta"]).count() == 1
 
 
+def plain_scatter(pattern, n, dialect, b):
+    """Cell values after running each operation over the pattern, address by address."""
+    steps = {
+        "c": {"ADD_VAR": lambda i, out: n, "COND_GEQ": lambda i, out: i <= b, "COND_EQ": lambda i, out: i == b, "COND_3": lambda i, out: (i == b) + (i >= b) + 2 * (i < b), "BRANCH": lambda i, out: b if i >= b else 1},
+        "java": {"ADD_VAR": lambda i, out: 1, "COND_GEQ": lambda i, out: out >= 0, "COND_EQ": lambda i, out: out == 0, "COND_3": lambda i, out: 3 if out == 0 else 1, "BRANCH": lambda i, out: b if i >= b else 1},
+        "python": {"ADD_VAR": lambda i, out: n // 2, "COND_GEQ": lambda i, out: i >= 0, "COND_EQ": lambda i, out: i == 0, "COND_3": lambda i, out: 3 if i == 0 else 1, "BRANCH": lambda i, out: b if i > b else 1},
+    }[dialect] | {"MEM_ONLY": lambda i, out: 0, "INC": lambda i, out: 1, "ADD_1M": lambda i, out: 1_000_000}
+    cells = {}
+    for op, step in steps.items():
+        for i in pattern:
+            cells[i, op] = cells.get((i, op), 0) + int(step(i, cells.get((i, op), 0)))
+    return cells
+
+
 def test_scatter_dialects(spark):
     trace = spark.createDataFrame([(i, a) for i, a in enumerate([0, 0, 1, 3, 3, 3])], "pos long, addr long")
     got = {d: {(r.addr, r.op): r.value for r in traces.scatter(trace, 6, d, 3).collect()} for d in traces.DIALECTS}
     assert got["c"][3, "BRANCH"] == 9 and got["python"][3, "BRANCH"] == 3 and got["java"][3, "COND_EQ"] == 1
     assert got["c"][0, "COND_GEQ"] == 2 and got["c"][3, "ADD_VAR"] == 18 and got["python"][0, "COND_3"] == 6 and got["java"][1, "COND_3"] == 3
+    for d in traces.DIALECTS:
+        for branch in (0, 1, 2, 3):
+            ops = {(r.addr, r.op): r.value for r in traces.scatter(trace, 6, d, branch).collect()}
+            assert ops == plain_scatter([0, 0, 1, 3, 3, 3], 6, d, branch)
     assert traces.normalised({"MEM_ONLY": 1.0, "INC": 1.0, "BRANCH": 3.0})["BRANCH"] is None
 
 

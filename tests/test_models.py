@@ -69,14 +69,21 @@ def test_small_columns(spark):
     assert vals.agg(rel.min_positive("v"), rel.max_finite("v")).first() == (0.5, 0.5)
     assert rel.drop_zero_columns(spark.createDataFrame([(0, 1)], "z int, o int"), ["z", "o"]).columns == ["o"]
     assert rel.first_columns(df, ["c", "zz"]).columns == ["c", "a", "b"]
-    assert rel.choose_by_time([(1.0, 1.0)] * 8)[:2] == [0, 1]
+    assert rel.choose_by_time([]) == [] and rel.choose_by_time([(1.0, 1.0)]) == [1]
+    # steady from the start: the second stays for five rounds, then both take turns
+    assert rel.choose_by_time([(1.0, 1.0)] * 13) == [1, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 0, 0]
+    # the branchy one is slower: back at once, and once more right after the swap
+    assert rel.choose_by_time([(2.0, 1.0)] * 6) == [1, 0, 1, 1, 1, 1]
+    # it moves a little right after a swap
+    assert rel.choose_by_time([(1.0, 1.02)] * 3) == [1, 0, 1]
+    assert rel.choose_by_time([(1.0, 1.005)] * 3) == [1, 0, 0]
 
 
 def test_format(spark):
     df = spark.createDataFrame([(0.0,), (1234.5,), (0.00123,), (None,), (-2.5e6,)], "x double")
     assert [r[0] for r in df.select(fmt.sigfig_label(F.col("x"), 3)).collect()] == ["0.00", "1230", "0.00123", "NA", "-2500000"]
-    assert [r[0] for r in df.select(fmt.si(F.col("x"), "B")).collect()] == ["0.0 B", "1.23 kB", "1.23 mB", None, "-2.5 MB"]
-    assert spark.range(1).select(fmt.iec(F.lit(1536)), fmt.times_label(F.lit(1.256)), fmt.si_unit(F.lit(2e9), "flops")).first() == ("1.5 Ki", "1.26x", "2.0 Gflop/s")
+    assert [r[0] for r in df.select(fmt.si(F.col("x"), "B")).collect()] == ["0 B", "1 KB", "1 mB", None, "-2500000 B"]
+    assert spark.range(1).select(fmt.iec(F.lit(1536)), fmt.iec(F.lit(1536), places=1), fmt.times_label(F.lit(1.256)), fmt.si_unit(F.lit(2e9), "flops")).first() == ("2 Ki", "1.5 Ki", "1.26x", "2 Gflop/s")
     assert fmt.step_size(0, 10) == 1.0 and fmt.ticks(0, 1)[-1] == 1.0 and fmt.ticks_log(1, 8) == [1.0, 2.0, 4.0, 8.0] and fmt.labels_log2([0.5, 1024.0]) == ["1/2", "2^10"]
 
 

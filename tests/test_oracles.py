@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from fathom.plans import catalog
+from fathom.plans import catalog, catalog_files, catalog_reports  # noqa: F401
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
