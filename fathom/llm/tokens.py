@@ -38,8 +38,8 @@ END = 2
 MAGIC = b"FWM1"
 NULL_ID = -(1 << 63)
 STEP = 512
-#: Chunks and words that a worker remembers, some 150 bytes each: more of them save no time worth having.
-CHUNKS, PIECES = 100_000, 150_000
+#: Chunks of texts beyond Latin letters, and words, that a worker remembers, some 200 bytes each.
+CHUNKS, PIECES = 100_000, 500_000
 
 # How byte-level vocabularies write the bytes that have no printable character.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,7 +47,15 @@ _BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Characters for which the piece pattern and lower case are the same in both libraries: ASCII and Latin letters.
 _OTHER = re.compile("[^\x21-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ſ]|<\\|")
+# The letters among them; the same pieces in texts that have no other.
+_LETTERS = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-ſ"
+_PLAIN_PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}0-9]+")
+#: The same for texts, which may have the usual white space besides.
+_OTHER_TEXT = re.compile("[^\t-\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ſ]|<\\|")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile(r"\s")
+#: Characters that are encoded at a time, up to the next white space.
+SLICE = 1 << 18
 
 
 class _Pieces(dict):
@@ -85,8 +93,9 @@ class _Chunks(dict):
 class Encoder:
     """``encode(text, add_special_tokens=False)`` of a word tokenizer, remembering what it has seen.
 
-    Nothing that the tokenizer looks at crosses white space, so a text's ids are those of its chunks in turn.  New chunks of ASCII and
-    Latin letters are normalised here and their words encoded by the library's model; any other chunk goes through the whole tokenizer.
+    Nothing that the tokenizer looks at crosses white space, so a text's ids are those of its chunks in turn.  Texts of ASCII and Latin
+    letters are normalised here and their words encoded by the library's model; of other texts this is done chunk by chunk, and chunks
+    with any other character go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -120,11 +129,29 @@ class Encoder:
             return b""
         if not self.wordy or _ODD_SPACE.search(text):
             return self.full(text)
+        if len(text) > SLICE:
+            return b"".join(map(self.part, slices(text)))
+        return self.part(text)
+
+    def part(self, text: str) -> bytes:
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        if _OTHER_TEXT.search(text):
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+        return b"".join(map(self.pieces.__getitem__, _PLAIN_PIECE.findall(low)))
+
+
+def slices(text: str) -> Iterator[str]:
+    """Parts of a long text that end at white space."""
+    at = 0
+    while at < len(text):
+        m = _SPACE.search(text, at + SLICE)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
 _ENCODERS: dict[str, Encoder] = {}

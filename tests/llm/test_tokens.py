@@ -31,6 +31,18 @@ def test_hard_texts(text):
     assert ids(CODER.encode(text)) == whole(text)
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" \t\n\r\x0b'sStTrReEvVmMlLdD0129-_.,<>|ÀéßŸıſ×÷«»ŉ"), max_size=40))
+def test_same_ids_of_latin_texts(text):
+    assert ids(CODER.encode(text)) == whole(text)
+
+
+def test_long_texts_in_slices(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 7)
+    for text in ["one two three four five six", "averyveryverylongword and more", " lead  and trail ", "é'll x" * 20, "日本 x y z " * 9]:
+        assert ids(CODER.encode(text)) == whole(text)
+
+
 def test_forgetting(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNKS", 3)
     monkeypatch.setattr(tokens, "PIECES", 2)
