@@ -1,3 +1,6 @@
+import os
+
+import pytest
 import zlib
 
 import numpy as np
@@ -53,3 +56,51 @@ def test_stages_against_plain(spark, corpus, tmp_path):
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in kept["tokens"]) == sorted(expected)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, again.select("doc_id", "start", "ids_crc32").collect())) == sorted((r.doc_id, r.start, r.ids_crc32) for r in kept["tokens"])
+
+
+def stage(spark, name, docs, sf_dir):
+    return dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+
+
+@pytest.fixture(scope="module")
+def bench_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("bench"))
+    spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d
+
+
+def test_stages_without_documents(spark, bench_dir, none):
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, none, bench_dir)
+        assert out.count() == 0, name
+        assert name == "tokens" or out.columns == none.columns
+
+
+def test_stages_with_nulls_and_repeated_rows(spark, bench_dir):
+    """Rows without ids, texts, languages or sources, and repeated ones, go through every stage; columns of clashing names stay."""
+    long = " ".join(f"long{i}" for i in range(30_000))
+    rows = [(None, "one text that has no id of its own", "en", "a"), (None, None, None, None), (1, "", "en", None), (2, "some words of a document here", None, None), (2, "some words of a document here", None, None), (3, long, "de", "b"), (4, "1234 5678", "de", "b"), (5, " ".join(f"q{i}" for i in range(20)), "en", "a")]
+    docs = spark.createDataFrame([(*r, 7, "k", 1) for r in rows], "doc_id long, text string, lang string, source string, row_key long, lang_pred string, times int")
+    kept = lambda df: sorted((str(r.doc_id), str(r.text)[:12]) for r in df.collect())
+    every = kept(docs)
+    out = stage(spark, "language", docs, bench_dir)
+    assert out.columns == docs.columns and kept(out) == [x for x in every if x[1][:1].isalpha() and x[1] != "None"]
+    out = stage(spark, "near_copies", docs, bench_dir)
+    assert out.columns == docs.columns and kept(out) == every
+    out = stage(spark, "decontaminate", docs, bench_dir)
+    assert out.columns == docs.columns and kept(out) == [x for x in every if x[0] != "5"]
+    out = stage(spark, "mix", docs, bench_dir)
+    assert out.columns == docs.columns and set(kept(out)) <= {x for x in every if x[1] not in ("None", "")}
+    out = stage(spark, "tokens", docs, bench_dir).collect()
+    assert len(out) == len(rows) and sum(r.doc_id is None for r in out) == 2 and min(r.n_tokens for r in out) == 1
+
+
+def test_run_leaves_the_stages_results_only(spark, tmp_path):
+    """Each stage's intermediate tables are dropped when its result is written."""
+    rows = [(i, f"words of document number {i} and more of them {i * i}", "en" if i % 2 else "de", "s") for i in range(40)]
+    spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = set(os.listdir("/tmp/checkpoints")) if os.path.isdir("/tmp/checkpoints") else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = [d for d in set(os.listdir("/tmp/checkpoints")) - before if d.startswith("fathom-")]
+    assert out.count() > 0 and len(left) == 1 and sorted(os.listdir(f"/tmp/checkpoints/{left[0]}")) == sorted(n for n, _ in corpus_pipeline.STAGES)
