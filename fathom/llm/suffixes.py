@@ -436,7 +436,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     space = Workspace(spark)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
-    buckets = max(64, math.ceil(text_bytes(rows) / BUCKET_BYTES))
+    # several a task, so that tasks come out even
+    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes(rows) / BUCKET_BYTES))
     tagged = texts_share_ids(rows)
     a = space.put("runs", settled(first_ranks(rows, buckets, length, first, tagged), buckets, "uuiis"), codec="uncompressed")
     still = a.where(F.col("kind") == OPEN)
