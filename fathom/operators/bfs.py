@@ -1,26 +1,40 @@
 """Breadth-first search as a driver loop over DataFrame joins.
 
 In a symmetric graph the neighbours of level d lie on levels d-1, d and d+1, so a round needs only the last two frontiers, never the
-whole visited set.  Each round writes its frontier once; a metric observed on that write tells when to stop.
+visited set.  Each round writes its frontier once, as a part of one table; a metric observed on that write tells when to stop.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathom.operators.graph import Graph, small
-from fathom.plans.staging import checkpoint
+from fathom.plans.staging import Workspace
+
+
+class Rounds:
+    """The frontiers of a search as one table by level in the shared folder, so that its plan does not grow with the levels."""
+
+    def __init__(self, spark):
+        self.spark, self.path, self.sizes, self.schema = spark, f"{Workspace(spark).root}/levels", [], None
+
+    def add(self, frontier: DataFrame) -> tuple[DataFrame, int]:
+        """Write the next level; gives it as written, and its row count."""
+        seen, path = Observation(), f"{self.path}/level={len(self.sizes)}"
+        frontier.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        self.schema = frontier.schema
+        self.sizes.append(seen.get["n"])
+        return self.level(len(self.sizes) - 1), self.sizes[-1]
 
+    def level(self, d: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/level={d}")
 
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint and row count in one job."""
-    seen = Observation()
-    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, seen.get["n"]
+    def table(self) -> DataFrame:
+        """All levels, with a column ``level``."""
+        found = self.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in self.schema)}, level long").parquet(self.path)
+        return found.select(self.schema.names[0], "level", *self.schema.names[1:])
 
 
 def push(edges: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
@@ -33,41 +47,35 @@ def pull(edges: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
     return edges.join(small(frontier.withColumnRenamed("id", "dst"), n), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
 
 
-def frontiers(graph: Graph, root: int | None = None, direction: str = "auto", max_rounds: int = 1_000_000) -> list[tuple[DataFrame, int]]:
-    """One (frame of ids, row count) per level.  ``auto`` pulls once a frontier holds over a tenth of all vertices.  Raises after
-    ``max_rounds`` rounds rather than return a part."""
+def frontiers(graph: Graph, root: int | None = None, direction: str = "auto", max_rounds: int = 1_000_000) -> Rounds | None:
+    """One level after the other; None for a graph without vertices.  ``auto`` pulls once a frontier holds over a tenth of all vertices.
+    Raises after ``max_rounds`` rounds rather than give a part."""
     if direction not in ("push", "pull", "auto"):
         raise ValueError(f"unknown direction {direction!r}")
     root = graph.root() if root is None else root
     if root is None:
-        return []
-    spark, edges = graph.edges.sparkSession, graph.edges if graph.stored else graph.edges.persist()
-    try:
-        total = graph.vertices.count() if direction == "auto" else 0
-        now, n = counted(spark.range(root, root + 1))
-        levels, before = [(now, n)], None
-        while n:
-            if len(levels) > max_rounds:
-                raise RuntimeError(f"the search has not ended after {max_rounds} rounds")
-            step = pull if direction == "pull" or (direction == "auto" and 10 * n > total) else push
-            fresh = step(edges, now, n).join(small(now, n), "id", "left_anti")
-            if before is not None:
-                fresh = fresh.join(small(*before), "id", "left_anti")
-            before = (now, n)
-            now, n = counted(fresh)
-            levels.append((now, n))
-        return [x for x in levels if x[1]]
-    finally:
-        if not graph.stored:
-            edges.unpersist()
+        return None
+    graph = graph.store()
+    spark, edges, rounds = graph.edges.sparkSession, graph.edges, Rounds(graph.edges.sparkSession)
+    total = graph.vertices.count() if direction == "auto" else 0
+    now, n = rounds.add(spark.range(root, root + 1))
+    before = None
+    while n:
+        if len(rounds.sizes) > max_rounds:
+            raise RuntimeError(f"the search has not ended after {max_rounds} rounds")
+        step = pull if direction == "pull" or (direction == "auto" and 10 * n > total) else push
+        fresh = step(edges, now, n).join(small(now, n), "id", "left_anti")
+        if before is not None:
+            fresh = fresh.join(small(*before), "id", "left_anti")
+        before = (now, n)
+        now, n = rounds.add(fresh)
+    return rounds
 
 
 def levels(graph: Graph, root: int | None = None, direction: str = "auto") -> DataFrame:
     """(id, level) of the reached vertices; an unreached vertex has no row (see ``unreached``)."""
-    parts = [f.select("id", F.lit(d).cast("long").alias("level")) for d, (f, _) in enumerate(frontiers(graph, root, direction))]
-    if not parts:
-        return graph.edges.sparkSession.createDataFrame([], "id long, level long")
-    return reduce(DataFrame.unionByName, parts)
+    rounds = frontiers(graph, root, direction)
+    return graph.edges.sparkSession.createDataFrame([], "id long, level long") if rounds is None else rounds.table()
 
 
 def unreached(graph: Graph, reached: DataFrame) -> DataFrame:

@@ -40,13 +40,11 @@ def edge_triangles(graph: Graph) -> DataFrame:
 
 
 def edge_intersections(graph: Graph) -> DataFrame:
-    """(src, dst, triangles, intersect_ops) by intersecting sorted neighbour lists; ``intersect_ops`` is the sum of both degrees.
-
-    The array form: good for sparse graphs, differential partner of ``edge_triangles``.
-    """
-    adj = graph.adjacency()
-    e = graph.edges.join(adj.select(F.col("id").alias("src"), F.col("nbrs").alias("a")), "src").join(adj.select(F.col("id").alias("dst"), F.col("nbrs").alias("b")), "dst")
-    return e.select("src", "dst", F.size(F.array_intersect("a", "b")).cast("long").alias("triangles"), (F.size("a") + F.size("b")).cast("long").alias("intersect_ops"))
+    """(src, dst, triangles, intersect_ops) for every directed edge; ``intersect_ops`` is the sum of both degrees, which is what
+    intersecting two sorted lists costs.  No list is sent to an edge: the counts come from the triangles, the degrees by join."""
+    deg = graph.degrees()
+    e = edge_triangles(graph).join(deg.select(F.col("id").alias("src"), F.col("deg").alias("a")), "src").join(deg.select(F.col("id").alias("dst"), F.col("deg").alias("b")), "dst")
+    return e.select("src", "dst", "triangles", (F.col("a") + F.col("b")).alias("intersect_ops"))
 
 
 def triangle_total(per_edge: DataFrame) -> DataFrame:
@@ -79,19 +77,25 @@ def mean_clustering(local: DataFrame, extra_vertices: int = 0) -> DataFrame:
 def merge_steps(graph: Graph) -> DataFrame:
     """(src, dst, steps): memory operations of a two-pointer merge, 2 per match and 1 per mismatch, in closed form.
 
-    With overlapping ranges the merge consumes exactly the elements not above the smaller of both maxima.
+    With overlapping ranges the merge consumes exactly the elements not above the smaller of both maxima.  How many neighbours of a vertex
+    those are is a running count over its neighbours and the limits of its edges together, so a hub costs its degree, not its square.
     """
-    adj = graph.adjacency()
-    e = graph.edges.join(adj.select(F.col("id").alias("src"), F.col("nbrs").alias("a")), "src").join(adj.select(F.col("id").alias("dst"), F.col("nbrs").alias("b")), "dst")
-    lo, hi = F.greatest(F.element_at("a", 1), F.element_at("b", 1)), F.least(F.element_at("a", -1), F.element_at("b", -1))
-    upto = lambda c: F.size(F.filter(c, lambda x: x <= hi))
-    return e.select("src", "dst", F.when(lo <= hi, upto("a") + upto("b")).otherwise(0).cast("long").alias("steps"))
+    ends = graph.edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("low"), F.max("dst").alias("high"))
+    e = graph.edges.join(ends.select(F.col("id").alias("src"), F.col("low").alias("la"), F.col("high").alias("ha")), "src").join(ends.select(F.col("id").alias("dst"), F.col("low").alias("lb"), F.col("high").alias("hb")), "dst")
+    e = e.select("src", "dst", F.greatest("la", "lb").alias("lo"), F.least("ha", "hb").alias("hi"))
+    # a neighbour counts for limits from its own value on
+    marks = e.select("src", F.col("dst").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("dst"), "lo", "hi").unionByName(e.select("src", F.col("hi").alias("at"), F.lit(0).alias("n"), "dst", "lo", "hi"))
+    upto = Window.partitionBy("src").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = marks.withColumn("c", F.sum("n").over(upto)).where("dst is not null").select("src", "dst", F.when(F.col("lo") <= F.col("hi"), F.col("c")).otherwise(0).alias("c"))
+    both = own.join(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("c").alias("other")), ["src", "dst"])
+    return both.select("src", "dst", (F.col("c") + F.col("other")).cast("long").alias("steps"))
 
 
 def merge_trace(graph: Graph) -> DataFrame:
     """(src, dst, step, side, addr): the positions a merge touches, the first list before the second on ties.
 
-    ``addr`` is the position in the concatenation of all neighbour lists by ascending vertex id.
+    ``addr`` is the position in the concatenation of all neighbour lists by ascending vertex id.  An edge gets both lists, which is as
+    much as it gives back in rows: the trace itself is that long.
     """
     offsets = graph.adjacency()
     # Two-level running sum: blocks of ids first, then inside each block, so no window holds the whole graph.
