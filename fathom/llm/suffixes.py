@@ -1,8 +1,8 @@
 """Exact substring removal by distributed prefix doubling over sampled suffixes.
 
 A byte goes when it lies in a string of LENGTH bytes that also starts earlier: in a document of smaller id, or in the same one further
-left.  ``doubled`` below is the plain form, a row for every byte and round.  At a gigabyte that is some hundred times the shuffle that
-this operator can have, so ``remove_repeats`` ranks fewer suffixes by the same steps, growing ranks of those that are not yet unique:
+left.  ``doubled`` below is the plain form, a row for every byte and round: it shuffles 225 bytes for a byte of text.  So
+``remove_repeats`` ranks fewer suffixes by the same steps, growing ranks of those that are not yet unique:
 
 1. Rank by the first FIRST bytes, for one suffix out of some thirty: each window of LENGTH bytes names the suffix inside it whose
    FIRST bytes hash lowest, so equal windows name the same place.  Consecutive windows that name one place form a run.  Runs are sorted
