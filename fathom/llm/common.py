@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -37,6 +40,26 @@ def rows_of(batch: pa.RecordBatch, sized: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return memory that is free in this worker to the machine: workers outlive their tasks, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives back memory at its end."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def append(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable[..., list]], fields: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
     """All columns of ``df`` and new ones, computed batch by batch in Python; also the names that the new ones got.
 
@@ -61,7 +84,7 @@ def append(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable[...
                 cols = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(new, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *names])
 
-    return df.mapInArrow(run, schema), names
+    return df.mapInArrow(tidy(run), schema), names
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

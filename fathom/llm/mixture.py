@@ -88,7 +88,7 @@ def laid_out(sized: DataFrame, runs: int) -> DataFrame:
     return s.join(heads, ["source_no", "run"]).withColumn("off", (F.col("base") + F.col("inside")).cast("long")).drop("run", "base", "inside")
 
 
-def draw(sources: DataFrame, total: int, shard: int) -> DataFrame:
+def draw(sources: DataFrame, total: int, shard: int, space: Workspace) -> DataFrame:
     """(slot, source_no, k): every slot's source, and its number among the slots of that source.
 
     ``sources(source_no, slots, first)``: slots to fill, and where the source starts in a row of all of them.
@@ -99,8 +99,9 @@ def draw(sources: DataFrame, total: int, shard: int) -> DataFrame:
     v = F.pmod(F.xxhash64("slot", F.lit(SEED)), F.lit(total))
     slots = spark.range(total).select(F.col("id").alias("slot")).withColumn("v", v).withColumn("cell", F.floor(F.col("v") / cell))
     drawn = slots.join(wide, "cell").where((F.col("v") >= F.col("first")) & (F.col("v") < F.col("first") + F.col("slots"))).select("slot", F.floor(F.col("slot") / shard).alias("shard"), "source_no")
+    drawn = space.put("drawn", drawn)
     # the counts of the shards, and what each source has got in the shards before
-    counts = drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n"))
+    counts = space.put("counts", drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n")))
     # in two steps, so that no task has all shards of a source
     counts = counts.withColumn("part", F.floor(F.col("shard") / RUN_ROWS))
     parts = counts.groupBy("source_no", "part").agg(F.sum("n").alias("whole"))
@@ -148,7 +149,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     if not total:
         empty = spark.createDataFrame([], "slot long, shard long, source_no long, round long, block long")
         return empty, named.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    dealt = draw(plan.select("source_no", "slots", "first"), total, shard).join(plan.select("source_no", "a", "b"), "source_no")
+    dealt = draw(plan.select("source_no", "slots", "first"), total, shard, space).join(plan.select("source_no", "a", "b"), "source_no")
     cells = F.col("a") * F.col("b")
     dealt = dealt.withColumn("round", F.floor(F.col("k") / cells)).withColumn("block", permuted(F.pmod("k", cells), F.col("a"), F.col("b"), F.col("source_no"), F.col("round")))
     slots = dealt.select("slot", F.floor(F.col("slot") / shard).alias("shard"), "source_no", "round", "block")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathom.llm.common import mix64, rows_of, text_bytes
+from fathom.llm.common import mix64, rows_of, text_bytes, tidy
 from fathom.plans.staging import Workspace, checkpoint
 
 LENGTH = 100
@@ -255,7 +255,7 @@ def first_ranks(docs: DataFrame, buckets: int, length: int, first: int, tagged:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, _LIST)
+    return docs.mapInArrow(tidy(run), _LIST)
 
 
 def settled(ranks: DataFrame, buckets: int, kinds: str) -> DataFrame:
@@ -300,7 +300,7 @@ def settled(ranks: DataFrame, buckets: int, kinds: str) -> DataFrame:
             yield table(out)
         yield table(settle(pieces, removed))
 
-    return ranks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _LIST)
+    return ranks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), _LIST)
 
 
 def beside(docs: DataFrame, lists: DataFrame, buckets: int, tagged: bool) -> DataFrame:
@@ -313,7 +313,7 @@ def beside(docs: DataFrame, lists: DataFrame, buckets: int, tagged: bool) -> Dat
             tags = np.array([tag_of(t, tagged) for t in batch.column(1).to_pylist()] if tagged else np.zeros(n), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 9), pa.int32()), pa.array(text_bucket(ids, tags, buckets), pa.int64()), batch.column(0), batch.column(1), pa.nulls(n, pa.binary())], names=["kind", "bucket", "doc_id", "text", "piece"])
 
-    return docs.mapInArrow(run, _LIST).unionByName(lists).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return docs.mapInArrow(tidy(run), _LIST).unionByName(lists).repartition("bucket").sortWithinPartitions("bucket", "kind")
 
 
 class Lists:
@@ -383,7 +383,7 @@ def window_ranks(docs: DataFrame, open_runs: DataFrame, buckets: int, length: in
             rows += dealt(REMOVED, text_bucket(d, s, buckets), d, s, w.astype(np.int32))
             yield table(rows)
 
-    return beside(docs, open_runs, buckets, tagged).mapInArrow(run, _LIST)
+    return beside(docs, open_runs, buckets, tagged).mapInArrow(tidy(run), _LIST)
 
 
 def cut_out(docs: DataFrame, removed: DataFrame, buckets: int, length: int, tagged: bool = False) -> DataFrame:
@@ -407,7 +407,7 @@ def cut_out(docs: DataFrame, removed: DataFrame, buckets: int, length: int, tagg
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    out = beside(docs, removed, buckets, tagged).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    out = beside(docs, removed, buckets, tagged).mapInArrow(tidy(run), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
@@ -419,7 +419,7 @@ def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
             ids = [np.unique(unpack(p, "iis")[0]) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)) if ids else [], pa.int64())], names=["doc_id"])
 
-    named = lists.select("piece").mapInArrow(run, "doc_id long").distinct()
+    named = lists.select("piece").mapInArrow(tidy(run), "doc_id long").distinct()
     return docs.join(F.broadcast(named), "doc_id", "left_semi") if named.count() <= BROADCAST_ROWS else docs
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathom.llm.common import rows_of
+from fathom.llm.common import rows_of, tidy
 from fathom.plans.staging import Workspace
 
 SHARD_TOKENS = 1 << 20
@@ -329,7 +329,7 @@ def write_shards(docs: DataFrame, space: Workspace, name: str, tokenizer: str, d
         if held:
             yield flush()
 
-    return space.put(name, ordered.mapInArrow(run, "shard long, first_doc long, n_docs long, n_tokens long, payload binary"), codec="uncompressed")
+    return space.put(name, ordered.mapInArrow(tidy(run), "shard long, first_doc long, n_docs long, n_tokens long, payload binary"), codec="uncompressed")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -346,7 +346,7 @@ def read_shards(files: DataFrame) -> DataFrame:
 
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     starts = files.select("shard", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0)).cast("long").alias("base"))
-    rows = files.select("shard", "payload").mapInArrow(run, "doc_id long, shard long, local long, n_tokens long, ids_crc32 long")
+    rows = files.select("shard", "payload").mapInArrow(tidy(run), "doc_id long, shard long, local long, n_tokens long, ids_crc32 long")
     return rows.join(starts, "shard").select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "shard", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
