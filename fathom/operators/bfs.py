@@ -6,6 +6,8 @@ visited set.  Each round writes its frontier once, as a part of one table; a met
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,19 +20,27 @@ class Rounds:
     """The frontiers of a search as one table by level in the shared folder, so that its plan does not grow with the levels."""
 
     def __init__(self, spark):
-        self.spark, self.path, self.sizes, self.schema = spark, f"{Workspace(spark).root}/levels", [], None
+        self.spark, self.path, self.schema = spark, f"{Workspace(spark).root}/levels", None
+        self.sizes: list[int] = []
+        self.nanoseconds: list[int] = []
 
     def add(self, frontier: DataFrame) -> tuple[DataFrame, int]:
         """Write the next level; gives it as written, and its row count."""
-        seen, path = Observation(), f"{self.path}/level={len(self.sizes)}"
+        seen, path, began = Observation(), f"{self.path}/level={len(self.sizes)}", time.perf_counter_ns()
         frontier.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         self.schema = frontier.schema
         self.sizes.append(seen.get["n"])
+        self.nanoseconds.append(time.perf_counter_ns() - began)
         return self.level(len(self.sizes) - 1), self.sizes[-1]
 
     def level(self, d: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/level={d}")
 
+    def measured(self) -> DataFrame:
+        """(level, vertices, nanoseconds): what each round found and took; one pass gives all counts."""
+        rows = [(d, n, t) for d, (n, t) in enumerate(zip(self.sizes, self.nanoseconds, strict=True)) if n]
+        return self.spark.createDataFrame(rows, "level long, vertices long, nanoseconds long")
+
     def table(self) -> DataFrame:
         """All levels, with a column ``level``."""
         found = self.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in self.schema)}, level long").parquet(self.path)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import bfs
+from fathom.operators import triangles as tri
 from fathom.operators.graph import Graph
 
 from fathom.plans.catalog import G, P, TOT_SQL, perf_totals, query, w
-from fathom.plans.fixtures import BFS_SQL, DEG_SQL, GALL_SQL, PERF_SQL, table
+from fathom.plans.fixtures import BFS_SQL, DEG_SQL, GALL_SQL, PERF_SQL, TRI_SQL, table
 from fathom.plans.staging import Workspace
 from fathom.sources import adjacency, perflog
 from fathom.sources.catalogue import GRAPHS, graph_catalogue
@@ -209,3 +210,16 @@ def _(spark, sf_dir):
     perflog.write_phases(perflog.union_tagged({"traversal": s, "dependency": s}, "phase").select("phase", "level", "vertices"), path)
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("pos", "line"))
     return lines.where("pos > 0").select(F.col("pos").cast("long"), "line")
+
+
+@query("sink_edge_triangles", w(GALL_SQL, TRI_SQL) + "SELECT src, dst, triangles FROM tri")
+def _(spark, sf_dir):
+    """One row an edge as CSV, in as many files as there are tasks."""
+    path = folder(spark) + "/triangles.csv"
+    tri.edge_triangles(G(spark, sf_dir, None)).write.csv(path, header=True)
+    return spark.read.csv(path, header=True, schema="src long, dst long, triangles long")
+
+
+@query("bfs_measured", w(GALL_SQL, BFS_SQL.replace("< 63", "< 8")) + "SELECT level, count(*) AS vertices, true AS timed FROM bfs GROUP BY 1")
+def _(spark, sf_dir):
+    return bfs.frontiers(G(spark, sf_dir, None).store()).measured().select("level", "vertices", (F.col("nanoseconds") > 0).alias("timed"))

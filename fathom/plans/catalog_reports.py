@@ -252,9 +252,6 @@ query("report_normalised_times", w(PERF_SQL, TOT_SQL, WIDE_SQL) + "SELECT algori
 query("report_win_percent", w(PERF_SQL) + "SELECT a.graph, round(100.0 * count(*) FILTER (WHERE a.\"time\" < b.\"time\") / CAST(count(*) AS DOUBLE), 4) AS percent FROM perf a JOIN perf b ON b.implementation = 'N' AND a.implementation = 'A' AND b.algorithm = a.algorithm AND b.graph = a.graph AND b.iteration = a.iteration GROUP BY 1")(
     lambda s, d: rel.wins(by_code(P(s, d), CELL).where("ba is not null and bb is not null"), ["graph"], "ba", "bb").select("graph", F.round(100 * F.col("ratio"), 4).alias("percent"))
 )
-OPS6 = ("INC", "ADD_1M", "ADD_VAR", "BRANCH")
-
-
 @query("report_synthetic", w(PERF_SQL, "x AS (SELECT algorithm, graph, sum(CASE WHEN iteration = 0 THEN \"time\" END) AS mem, sum(CASE WHEN iteration = 1 THEN \"time\" END) AS inc, sum(CASE WHEN iteration = 2 THEN \"time\" END) AS op FROM perf GROUP BY 1, 2)") + "SELECT algorithm, graph, round((op - mem) / nullif(inc - mem, 0), 6) AS normalised FROM x")
 def _(spark, sf_dir):
     """Times of a trace's operations over those of the plain increment, both without those of the bare memory walk."""
@@ -293,3 +290,12 @@ def _(spark, sf_dir):
     """Rows on which dependencies by levels and those of a second run disagree: none."""
     g = G(spark, sf_dir).store()
     return bc.differences(bc.betweenness(g), bc.betweenness(g), ["level", "sigma"], ["delta"]).select("id")
+
+
+FIVE = [c for c in SIX if c != "edges"]
+query("perf_per_edge_all", w(PERF_SQL) + f"SELECT {K}, iteration, " + ", ".join(f'round(CAST("{c}" AS DOUBLE) / nullif(edges, 0), 6) AS "{c}"' for c in FIVE) + " FROM perf")(lambda s, d: rel.normalise_self(P(s, d), FIVE, "edges").select(*PERF_KEYS, "iteration", *[r6(c).alias(c) for c in FIVE]))
+query("perf_by_speedup", w(PERF_SQL, TOT_SQL, SPEED_SQL) + f"SELECT row_number() OVER (ORDER BY speedup DESC, {K}) AS pos, {K} FROM sp WHERE implementation <> 'N'")(
+    lambda s, d: perf_speedup(s, d).where(~base()).select(F.row_number().over(rel.Window.orderBy(F.desc("speedup"), *PERF_KEYS)).cast("long").alias("pos"), *PERF_KEYS)
+)
+query("perf_odd_even", w(PERF_SQL) + "SELECT iteration % 2 = 1 AS odd, count(*) AS n, CAST(sum(branches) AS BIGINT) AS branches FROM perf WHERE iteration >= 0 GROUP BY 1")(lambda s, d: P(s, d).where("iteration >= 0").groupBy((F.col("iteration") % 2 == 1).alias("odd")).agg(F.count("*").alias("n"), F.sum("branches").cast("long").alias("branches")))
+query("perf_reciprocal", w(PERF_SQL) + 'SELECT graph, iteration, 1.0 / nullif("time", 0) AS rate FROM perf')(lambda s, d: P(s, d).select("graph", "iteration", F.try_divide(F.lit(1.0), "time").alias("rate")))
