@@ -127,8 +127,8 @@ def draw(sources: DataFrame, total: int, shard: int, space: Workspace) -> DataFr
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(slots, documents).
 
-    ``slots(slot, shard, source_no, round, block)`` is the mix itself, in order.  ``documents(doc_id, source, size, source_size, target,
-    taken)`` says how many words of each document it takes.
+    ``slots(slot, shard, source_no, round, block)`` is the mix itself, in order.  ``documents(doc_id, text_hash, source, size,
+    source_size, target, taken)`` says how many words of each document it takes.
     """
     spark = docs.sparkSession
     space = Workspace(spark)
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     named = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select("doc_id", "text_hash", plan["source"], "size", "source_size", "target", "source_no", "block_words")
     if not total:
         empty = spark.createDataFrame([], "slot long, shard long, source_no long, round long, block long")
-        return empty, named.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return empty, named.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     dealt = draw(plan.select("source_no", "slots", "first"), total, shard, space).join(plan.select("source_no", "a", "b"), "source_no")
     cells = F.col("a") * F.col("b")
     dealt = dealt.withColumn("round", F.floor(F.col("k") / cells)).withColumn("block", permuted(F.pmod("k", cells), F.col("a"), F.col("b"), F.col("source_no"), F.col("round")))
@@ -156,10 +156,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     taken = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     placed = laid_out(named, max(1, math.ceil(rows / RUN_ROWS), min(LEAST_RUNS, rows // 100)))
     lo, hi = F.col("off"), F.col("off") + F.col("size")
-    pieces = placed.where("size > 0").select("doc_id", "source", "size", "source_size", "target", "source_no", "off", "block_words", F.explode(F.sequence(F.floor(lo / F.col("block_words")), F.floor((hi - 1) / F.col("block_words")))).alias("block"))
+    pieces = placed.where("size > 0").select("doc_id", "text_hash", "source", "size", "source_size", "target", "source_no", "off", "block_words", F.explode(F.sequence(F.floor(lo / F.col("block_words")), F.floor((hi - 1) / F.col("block_words")))).alias("block"))
     words = F.col("block_words")
     overlap = F.least(hi, (F.col("block") + 1) * words) - F.greatest(lo, F.col("block") * words)
-    keys = ["doc_id", "source", "size", "source_size", "target"]
+    keys = ["doc_id", "text_hash", "source", "size", "source_size", "target"]
     got = pieces.join(taken, ["source_no", "block"], "left").groupBy(*keys, "source_no", "off").agg(F.sum(overlap * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     return slots, got.select(*keys, "taken").unionByName(named.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken")))
 
@@ -172,10 +172,13 @@ def copies(taken: Column, size: Column, doc_id: Column) -> Column:
 
 
 def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """``docs`` as whole documents in the proportions of the mix; all columns stay, and a document comes 0, 1 or 2 times."""
+    """``docs`` as whole documents in the proportions of the mix; all columns stay, and a document comes 0, 1 or 2 times.
+
+    Rows that repeat id and text come equally often; an id's other texts are counted by themselves.
+    """
     _, found = mix(docs, doc_id, text, source, **how)
-    key, times = free_name(docs.columns, "mixed_id"), free_name(docs.columns, "times")
-    per_id = found.groupBy(F.col("doc_id").alias(key)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    often = per_id.select(key, copies(F.col("taken"), F.col("size"), F.col(key)).alias(times)).where(F.col(times) > 0)
-    out = docs.join(often, docs[doc_id].eqNullSafe(often[key]))
+    key, hashed, times = free_name(docs.columns, "mixed_id"), free_name(docs.columns, "mixed_hash"), free_name(docs.columns, "times")
+    per_text = found.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    often = per_text.select(key, hashed, copies(F.col("taken"), F.col("size"), F.col(key)).alias(times)).where(F.col(times) > 0)
+    out = docs.join(often, docs[doc_id].eqNullSafe(often[key]) & (F.xxhash64(docs[text]) == often[hashed]))
     return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).select(*docs.columns)
