@@ -45,8 +45,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes its words, fractions rounded at random by a hash of the id.
 
-    Null and empty texts have no words and go.  A null source is one of its own, the last; rows of one id, of none too, come equally
-    often.
+    Null and empty texts have no words and go.  A null source is one of its own, the last; rows that repeat id and text, without an
+    id too, come equally often.
     """
     return mixture.repeat_documents(docs)
 
