@@ -40,8 +40,9 @@ from fathom.plans.staging import Workspace, checkpoint
 
 LENGTH = 100
 FIRST = 40
-#: Text bytes that a bucket stands for.
-BUCKET_BYTES = 32 << 20
+#: Text bytes that a bucket stands for, and buckets that there are at least.  Every task sends a piece to every bucket that it has rows
+#: for, so their number follows the text, not the number of tasks.
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 128
 #: Runs of one first rank that a step sends there.
 CROWD = 8
 #: Documents with open runs that are named to all tasks, 8 bytes each; beyond, all texts are dealt out again.
@@ -436,8 +437,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     space = Workspace(spark)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
-    # several a task, so that tasks come out even
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes(rows) / BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, math.ceil(text_bytes(rows) / BUCKET_BYTES))
     tagged = texts_share_ids(rows)
     a = space.put("runs", settled(first_ranks(rows, buckets, length, first, tagged), buckets, "uuiis"), codec="uncompressed")
     still = a.where(F.col("kind") == OPEN)
