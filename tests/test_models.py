@@ -99,3 +99,14 @@ def test_roles():
     r = roles.roles(["architecture", "iteration", "Time", "Cycles", "Loads.Retired", "Stall.RS", "Instructions", "Edges", "Vertices"], drop_instructions=True)
     assert r.response == "Cycles" and r.stalls == ["Stall.RS"] and r.predictors == ["Loads.Retired", "Stall.RS", "Edges"]
     assert roles.common_columns([["a", "b"], ["b"]]) == ["b"] and roles.all_columns([["a"], ["b", "a"]]) == ["a", "b"]
+
+
+def test_lasso_of_nearly_proportional_terms():
+    """Coordinate descent stopped at (6.0, 0.0) here, before the second term had taken the place of the first."""
+    x = np.array([[1000.0, 2000.0], [2000.0, 4000.1], [3000.0, 5999.9], [4000.0, 8000.1]]) * 1000
+    y = x @ np.array([0.0, 3.0])
+    beta = models.lasso(x.T @ x, x.T @ y, 1e6)
+    grad = x.T @ (y - x @ beta) - 1e6
+    assert beta[0] == 0 and abs(beta[1] - 3) < 1e-6 and grad[0] <= 0 and abs(grad[1]) < 1
+    same = np.array([[1.0, 2.0, 1.0], [2.0, 4.0, 2.0]])
+    assert np.allclose(models.lasso(same.T @ same, same.T @ np.array([2.0, 4.0]), 0.5), [0, 0.975, 0])
