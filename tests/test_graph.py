@@ -182,3 +182,17 @@ def test_stream_degrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("deg").collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize(("block", "hub"), [(40, 5_000), (10**9, 6), (40, 3), (40, 0)])
+def test_triangles_by_blocks_and_hubs(spark, randoms, monkeypatch, block, hub):
+    """Lists meet lists, in one block or several, without a row a wedge; hubs go by their triangles."""
+    monkeypatch.setattr(tri, "BLOCK", block)
+    monkeypatch.setattr(tri, "HUB", hub)
+    star = [(1000, v) for v in {u for e in randoms for u in e}]
+    for pairs in (randoms, [*randoms, *star]):
+        g, nb = graph(spark, pairs), neighbours(pairs)
+        got = [tuple(r) for r in tri.edge_intersections(g).collect()]
+        assert sorted(got) == sorted((u, v, len(nb[u] & nb[v]), len(nb[u]) + len(nb[v])) for u in nb for v in nb[u])
+        per_vertex = {r.id: (r.deg, r.triangles) for r in tri.vertex_triangles(g).collect()}
+        assert per_vertex == {u: (len(nb[u]), sum(len(nb[u] & nb[v]) for v in nb[u])) for u in nb}
