@@ -214,9 +214,9 @@ def _(spark, sf_dir):
 
 @query("sink_edge_triangles", w(GALL_SQL, TRI_SQL) + "SELECT src, dst, triangles FROM tri")
 def _(spark, sf_dir):
-    """One row an edge as CSV, in as many files as there are tasks."""
+    """One row an edge as compressed CSV, in as many files as there are tasks."""
     path = folder(spark) + "/triangles.csv"
-    tri.edge_triangles(G(spark, sf_dir, None)).write.csv(path, header=True)
+    tri.edge_triangles(G(spark, sf_dir, None)).write.csv(path, header=True, compression="gzip")
     return spark.read.csv(path, header=True, schema="src long, dst long, triangles long")
 
 
