@@ -196,3 +196,15 @@ def test_triangles_by_blocks_and_hubs(spark, randoms, monkeypatch, block, hub):
         assert sorted(got) == sorted((u, v, len(nb[u] & nb[v]), len(nb[u]) + len(nb[v])) for u in nb for v in nb[u])
         per_vertex = {r.id: (r.deg, r.triangles) for r in tri.vertex_triangles(g).collect()}
         assert per_vertex == {u: (len(nb[u]), sum(len(nb[u] & nb[v]) for v in nb[u])) for u in nb}
+
+
+def test_start_of_the_merge_trace(spark, randoms):
+    """The first rows need the lists of the first edges only; edges without steps come before the first one that has some."""
+    for pairs, sizes in ((randoms, (1, 50, 10**6)), ([(0, 100), (100, 200), (200, 300), (1, 2), (1, 3), (2, 3)], (1, 4, 10**6)), ([], (5,))):
+        g = graph(spark, pairs)
+        whole = sorted(map(tuple, tri.merge_trace(g).collect()))
+        for n in sizes:
+            got = sorted(map(tuple, tri.merge_trace_start(g, n).collect()))
+            assert got[:n] == whole[:n] and got == whole[: len(got)]
+            if n == 50:
+                assert len(got) < len(whole)
