@@ -208,3 +208,14 @@ def test_start_of_the_merge_trace(spark, randoms):
             assert got[:n] == whole[:n] and got == whole[: len(got)]
             if n == 50:
                 assert len(got) < len(whole)
+
+
+def test_labels_without_broadcasts(spark, randoms, monkeypatch):
+    """Beyond BROADCAST_ROWS labels no join of a round passes through the driver."""
+    want = sorted(map(tuple, components.component_labels(graph(spark, randoms)).collect()))
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    plans, kept = [], components.checkpoint
+    monkeypatch.setattr(components, "checkpoint", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    for jump in (True, False):
+        assert sorted(map(tuple, components.label_rounds(graph(spark, randoms), jump).collect())) == want
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
