@@ -68,3 +68,26 @@ def test_results(spark, tmp_path):
 def test_degree_of_read_graph(spark, tmp_path):
     g = Graph.from_pairs(adj.read_adjacency(spark, write(tmp_path / "u.graph", "2 1\n2\n1")))
     assert g.edges.count() == 2
+
+
+def test_adjacency_is_read_in_blocks(spark, tmp_path):
+    """A file was one row of one task, which a large graph's text does not fit."""
+    from pyspark.sql import functions as F
+
+    lists = {v: [w for w in range(1, 301) if w != v and (v * w) % 7 == 1] for v in range(1, 301)}
+    lines = ["% a note", f"300 {sum(map(len, lists.values())) // 2} 0"]
+    for v, ws in lists.items():
+        lines += ["%" + "x" * (v % 90)] * (v % 3 == 0) + ["  " * (v % 2) + "\t".join(map(str, ws)) + "\r" * (v % 5 == 0)]
+    one = write(tmp_path / "many" / "a.graph", "\n".join(lines))
+    write(tmp_path / "many" / "b.graph", "% b\n2 1\n2\n1\n")
+    want = [(v, w) for v, ws in lists.items() for w in ws]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        pairs = adj.read_adjacency(spark, one)
+        assert sorted(map(tuple, pairs.collect())) == want
+        assert adj.numbered_lines(spark, one).agg(F.min("number"), F.max("number"), F.count_distinct("number")).first() == (0, 300, 301)
+        assert spark.read.text(one).rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, adj.read_adjacency(spark, str(tmp_path / "many")).collect())) == sorted([*want, (1, 2), (2, 1)])
+        assert adj.read_graph(spark, one).edges.count() == len(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
