@@ -69,3 +69,30 @@ def test_traces(spark, parts):
         got = {(r.addr, r.op): r.value for r in run(spark, d, f"trace_mix_scatter_{dialect}")}
         assert len(got) == 8 * len(visits)
         assert all(got[a, "INC"] == n and got[a, "ADD_1M"] == 1_000_000 * n and got[a, "ADD_VAR"] == var * n for a, n in visits.items())
+
+
+def test_merge_trace_in_blocks_shuffles_no_list_on_edges(spark, monkeypatch):
+    """Nearly all edges of 200 vertices, whose lists on the edges were some 100 MB; ids are far apart and near each other."""
+    from fathom.operators import merges
+    from fathom.operators import triangles as tri
+    from fathom.operators.graph import Graph
+
+    rng, n = random.Random(5), 200
+    ids = sorted([rng.randint(-(1 << 62), 1 << 62) for _ in range(n // 2)] + rng.sample(range(10_000), n // 2))
+    pairs = [(a, b) for a in ids for b in ids if a < b and rng.random() < 0.9]
+    monkeypatch.setattr(merges, "LEAST_BLOCK", 1_000)
+    monkeypatch.setattr(merges, "STEP", 5_000)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before, trace = written(), tri.merge_trace(Graph.from_pairs(spark.createDataFrame(pairs, "src long, dst long")))
+        got = sorted(map(tuple, trace.toPandas().itertuples(index=False)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    nb, at, offset = neighbours(pairs), 0, {}
+    for v in sorted(nb):
+        offset[v] = {x: at + i for i, x in enumerate(sorted(nb[v]))}
+        at += len(nb[v])
+    assert got == [(u, v, k, s, offset[(u, v)[s]][x]) for u in sorted(nb) for v in sorted(nb[u]) for k, (s, x) in enumerate(plain_merge(sorted(nb[u]), sorted(nb[v])))]
+    assert written() - before < 2e6  # it was 3.6 MB with lists on the edges, which compress well here
