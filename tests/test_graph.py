@@ -1,5 +1,6 @@
 """Kernels on hand-checked graphs and against plain Python on random ones."""
 
+import itertools
 import random
 from collections import deque
 
@@ -219,3 +220,16 @@ def test_labels_without_broadcasts(spark, randoms, monkeypatch):
     for jump in (True, False):
         assert sorted(map(tuple, components.label_rounds(graph(spark, randoms), jump).collect())) == want
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_labels_that_meet_become_one_in_a_round(spark, monkeypatch):
+    """A path of mixed ids takes few rounds, and large ones give back what a round leaves in the driver."""
+    rng, freed, rounds, kept = random.Random(7), [], [], components.checkpoint
+    path = rng.sample(range(1_000), 400)
+    pairs = [*itertools.pairwise(path), (2_000, 2_001)]
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "checkpoint", lambda df: (rounds.append(1), kept(df))[1])
+    monkeypatch.setattr(components, "trim_driver", freed.append, raising=False)
+    got = {r.id: r.component for r in components.label_rounds(graph(spark, pairs), max_rounds=12).collect()}  # it took 87
+    assert got == dict.fromkeys(path, min(path)) | {2_000: 2_000, 2_001: 2_000}
+    assert len(freed) == len(rounds) - 2  # the first one is no round, and after the last nothing is given back
