@@ -7,12 +7,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Neighbours, in the lists of whole vertices, that a task holds at a time, at most and at least (a longer list is a block of its own).
 BLOCK, LEAST_BLOCK = 2_000_000, 50_000
-#: Blocks of a graph that is small enough for LEAST_BLOCK.
-SPREAD = 48
-#: Rows that a task makes, or list elements that it deals, at a time (one edge's are never cut).
+#: Blocks of a graph that is small enough for LEAST_BLOCK; each meets each in a task.
+SPREAD = 24
+#: Rows that a task makes at a time (one edge's are never cut).
 STEP = 1 << 19
 
 Batches = Iterator[pa.RecordBatch]
@@ -31,27 +32,6 @@ def cuts(sizes: np.ndarray) -> Iterator[slice]:
     return (slice(a, b) for a, b in zip(ends, ends[1:], strict=False) if b > a)
 
 
-def deal(lists: DataFrame, starts: Sequence[int]) -> DataFrame:
-    """(block, far, id, off, nbrs) from (id, off, nbrs): every list goes to its own block, and once to each block of its larger neighbours.
-    ``starts`` are the first ids of the blocks."""
-    first = np.array(starts, dtype=np.int64)
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            values, lengths = flat(batch, "nbrs")
-            row = np.repeat(np.arange(len(ids)), lengths)
-            up = values > ids[row]
-            there = np.unique(row[up] * len(first) + np.searchsorted(first, values[up], "right") - 1)
-            rows = np.concatenate([np.arange(len(ids)), there // max(len(first), 1)])
-            block = np.concatenate([np.searchsorted(first, ids, "right") - 1, there % max(len(first), 1)])
-            for s in cuts(lengths[rows]):
-                part = batch.take(pa.array(rows[s]))
-                yield pa.RecordBatch.from_arrays([pa.array(block[s]), pa.array(np.arange(len(rows))[s] >= len(ids)), *part.columns], names=["block", "far", "id", "off", "nbrs"])
-
-    return lists.select("id", "off", "nbrs").mapInArrow(run, "block long, far boolean, id long, off long, nbrs array<long>")
-
-
 class Lists:
     """Lists in one array, by ascending id."""
 
@@ -61,7 +41,19 @@ class Lists:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Lists:
-        return cls(np.asarray(batch.column(2)), np.asarray(batch.column(3)), *flat(batch, "nbrs"))
+        return cls(*[np.asarray(batch.column(batch.schema.get_field_index(x))) for x in ("id", "off")], *flat(batch, "nbrs"))
+
+    def packed(self) -> tuple[int, bytes]:
+        """Length and compressed bytes of lists whose offsets follow each other."""
+        raw = np.concatenate([[len(self.ids), self.off[0]], self.ids, self.lengths, self.values])
+        raw = np.diff(raw, prepend=0).tobytes()  # differences, and their sums, wrap around
+        return len(raw), pa.Codec("zstd").compress(raw, asbytes=True)
+
+    @classmethod
+    def unpacked(cls, size: int, data: bytes) -> Lists:
+        raw = np.cumsum(np.frombuffer(pa.Codec("zstd").decompress(data, size), dtype=np.int64))
+        n, ids, lengths = raw[0], raw[2 : 2 + raw[0]], raw[2 + raw[0] : 2 + 2 * raw[0]]
+        return cls(ids, raw[1] + np.cumsum(lengths) - lengths, raw[2 + 2 * n :], lengths)
 
     @classmethod
     def joined(cls, parts: Sequence[Lists]) -> Lists:
@@ -92,35 +84,56 @@ def steps(both: Lists, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def met(near: Lists, far: Lists) -> Batches:
     """Traces, in both directions, of the edges from a list of ``far`` up to one of ``near``."""
-    row = np.repeat(np.arange(len(far.ids)), far.lengths)
-    at = np.searchsorted(near.ids, far.values)
-    here = (far.values > far.ids[row]) & (near.ids[np.minimum(at, len(near.ids) - 1)] == far.values)
-    up, low = at[here], row[here]
+    here = np.flatnonzero((far.values >= near.ids[0]) & (far.values <= near.ids[-1]))
+    low = np.searchsorted(far.start, here, "right") - 1
+    up = np.searchsorted(near.ids, far.values[here])
+    edge = (far.values[here] > far.ids[low]) & (near.ids[up] == far.values[here])
+    up, low = up[edge], low[edge]
     both = Lists.joined([near, far])
     for s in cuts(2 * (near.lengths[up] + far.lengths[low])):
         x, y = up[s], low[s] + len(near.ids)
         yield steps(both, np.concatenate([x, y]), np.concatenate([y, x]))
 
 
-def merge(dealt: DataFrame) -> DataFrame:
-    """The trace from the rows of ``deal``, a block's own lists before the others."""
+def pack(lists: DataFrame, starts: Sequence[tuple[int, int]]) -> DataFrame:
+    """(block, up, size, data), a row a block, from (block, id, off, nbrs) in order inside each partition: its lists, and the blocks of
+    their larger neighbours.  ``starts`` are the blocks and their first ids, in order."""
+    number, first = np.array(starts, dtype=np.int64).reshape(-1, 2).T
+
+    def row(block: int, parts: list[Lists]) -> pa.RecordBatch:
+        own = Lists.joined(parts)
+        above = own.values[own.values > np.repeat(own.ids, own.lengths)]
+        up = number[np.unique(np.searchsorted(first, above, "right") - 1)]
+        size, data = own.packed()
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([up], pa.list_(pa.int32())), pa.array([size]), pa.array([data], pa.binary())], names=["block", "up", "size", "data"])
 
     def run(batches: Batches) -> Batches:
         block, parts = None, []
         for batch in batches:
-            keys = np.asarray(batch.column(0)) * 2 + batch.column(1).to_numpy(zero_copy_only=False)
+            keys = np.asarray(batch.column(0))
             ends = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for i, j in zip(ends, ends[1:], strict=False):
-                if j == i:
-                    continue
-                if keys[i] >> 1 != block:
-                    block, parts = keys[i] >> 1, []
-                if not keys[i] & 1:
+                if j > i and keys[i] != block:
+                    if parts:
+                        yield row(block, parts)
+                    block, parts = int(keys[i]), []
+                if j > i:
                     parts.append(Lists.of(batch.slice(i, j - i)))
-                    # edges inside the block, whose lower end's list comes again as one of the others, are not made here
-                    continue
-                parts = [Lists.joined(parts)] if len(parts) > 1 else parts
-                for s in cuts(np.asarray(batch.column(4).value_lengths())[i:j]):
-                    yield from met(parts[0], Lists.of(batch.slice(i + s.start, s.stop - s.start)))
+        if parts:
+            yield row(block, parts)
+
+    return lists.select("block", "id", "off", "nbrs").mapInArrow(run, "block int, up array<int>, size long, data binary")
+
+
+def merge(blocks: DataFrame) -> DataFrame:
+    """The trace from the rows of ``pack``: each block meets those of its larger neighbours.  No row of the pairs is shuffled or stored."""
+    low = blocks.select(F.col("block").alias("low"), "up", F.col("size").alias("low_size"), F.col("data").alias("low_data"))
+    pairs = low.join(blocks.select("block", "size", "data").hint("shuffle_replicate_nl"), F.array_contains("up", F.col("block")))
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for same, low_size, low_data, size, data in zip(*batch.columns, strict=True):
+                near = Lists.unpacked(size.as_py(), data.as_buffer())
+                yield from met(near, near if same.as_py() else Lists.unpacked(low_size.as_py(), low_data.as_buffer()))
 
-    return dealt.mapInArrow(run, "src long, dst long, step long, side int, addr long")
+    return pairs.select((F.col("low") == F.col("block")).alias("same"), "low_size", "low_data", "size", "data").mapInArrow(run, "src long, dst long, step long, side int, addr long")
